@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tracelens.llm import sharding
+from tracelens.llm import chat, sharding
 
 
 def queries():
     return {
+        "op6_chat_formatting": chat.op6,
         "op9_sharding": sharding.op9,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_chat_formatting": chat.OP6_SQL,
+    }
