@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tracelens.llm import chat, sharding
+from tracelens.llm import chat, sharding, tokencount
 
 
 def queries():
     return {
         "op6_chat_formatting": chat.op6,
+        "op8_token_counts": tokencount.op8,
         "op9_sharding": sharding.op9,
     }
 
