@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tracelens.llm import chat, sharding, tokencount
+from tracelens.llm import chat, quality, sharding, tokencount
 
 
 def queries():
     return {
+        "op5_quality_rules": quality.op5,
         "op6_chat_formatting": chat.op6,
         "op8_token_counts": tokencount.op8,
         "op9_sharding": sharding.op9,
@@ -15,5 +16,6 @@ def queries():
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_quality_rules": quality.op5,
         "op6_chat_formatting": chat.OP6_SQL,
     }
