@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tracelens.llm import chat, quality, sharding, tokencount
+from tracelens.llm import chat, decontam, quality, sharding, tokencount
 
 
 def queries():
     return {
+        "op1_benchmark_decontamination": decontam.op1,
         "op5_quality_rules": quality.op5,
         "op6_chat_formatting": chat.op6,
         "op8_token_counts": tokencount.op8,
@@ -16,6 +17,8 @@ def queries():
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_benchmark_decontamination": decontam.op1,
         "op5_quality_rules": quality.op5,
+        "op1_benchmark_decontamination": decontam.OP1_SQL,
         "op6_chat_formatting": chat.OP6_SQL,
     }
