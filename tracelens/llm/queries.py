@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelens.llm import chat, decontam, quality, sharding, tokencount
+from tracelens.llm import chat, decontam, quality, sharding, spans, tokencount
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op6_chat_formatting": chat.op6,
         "op8_token_counts": tokencount.op8,
         "op9_sharding": sharding.op9,
+        "op10_substring_dedup": spans.op10,
     }
 
 
