@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelens.llm import chat, decontam, quality, sharding, spans, tokencount
+from tracelens.llm import chat, decontam, packing, quality, sharding, spans, tokencount
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_benchmark_decontamination": decontam.op1,
         "op5_quality_rules": quality.op5,
         "op6_chat_formatting": chat.op6,
+        "op7_best_fit_packing": packing.op7,
         "op8_token_counts": tokencount.op8,
         "op9_sharding": sharding.op9,
         "op10_substring_dedup": spans.op10,
