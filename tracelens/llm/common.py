@@ -48,3 +48,12 @@ def sha_hex(c: Column) -> Column:
 def md5_uint(c: Column, digits: int = 8) -> Column:
     """The first hex digits of an MD5 as a number; DuckDB can compute the same one."""
     return F.conv(F.substring(F.md5(c), 1, digits), 16, 10).cast("long")
+
+
+#: Tables of up to this many bytes may be broadcast; larger ones are joined by a shuffle.
+MAX_BROADCAST = 32 << 20
+
+
+def sized(df: DataFrame, row_bytes: int, max_bytes: int = MAX_BROADCAST) -> DataFrame:
+    """``df``, a table that was cut, marked for broadcast if its counted rows fit the bound."""
+    return F.broadcast(df) if df.count() * row_bytes <= max_bytes else df

@@ -42,3 +42,37 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def linked(member: DataFrame, verify, near=None) -> DataFrame:
+    """node, root for the nodes that are linked: candidates share a bucket and ``verify`` keeps the pair.
+
+    ``member``: bucket, node and any further columns that ``near`` looks at. ``near(u, v)``, given two structs of
+    node and further columns, is a cheap condition that every link fulfils. ``verify`` maps (u, v) rows to those that are links.
+    First every node of a bucket is compared to the bucket's smallest. Then, of a bucket whose nodes are still in
+    different components, the pairs across components are compared, each with one node outside the
+    bucket's largest component. All pairs that could join two components are looked at, but a group of
+    many copies costs one comparison a copy.
+    """
+    rest = [c for c in member.columns if c != "bucket"]
+    shared = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    crowded = cut(member.join(shared, "bucket"), "crowded")
+    own = F.struct(*rest)
+    leader = crowded.groupBy("bucket").agg(F.min(F.struct("node", *[c for c in rest if c != "node"])).alias("leader"))
+    stars = crowded.join(leader, "bucket").filter(F.col("node") != F.col("leader.node"))
+    stars = stars.filter(near(F.col("leader"), own)) if near else stars
+    stars = cut(stars.select(F.col("leader.node").alias("u"), F.col("node").alias("v")).distinct(), "stars")
+    edges = cut(verify(stars), "links")
+    roots = components(edges)
+    placed = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
+    split = placed.join(main.select("bucket", F.col("top.root").alias("main")), "bucket").select("bucket", "root", "main", own.alias("own"))
+    split = cut(split, "split")
+    x, y = split.filter("root != main").alias("x"), split.alias("y")
+    ahead = (F.col("y.root") == F.col("y.main")) | (F.col("x.own.node") < F.col("y.own.node"))
+    on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & ahead
+    cross = x.join(y, on & near(F.col("x.own"), F.col("y.own")) if near else on)
+    cross = cross.select(F.least("x.own.node", "y.own.node").alias("u"), F.greatest("x.own.node", "y.own.node").alias("v")).distinct()
+    more = cut(verify(cross.join(stars, ["u", "v"], "left_anti")), "links")
+    return roots if more.isEmpty() else components(edges.union(more))

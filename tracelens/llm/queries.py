@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tracelens.llm import chat, decontam, packing, probminhash, quality, sharding, spans, tokencount
+from tracelens.llm import chat, decontam, lines, packing, probminhash, quality, sharding, spans, tokencount
 
 
 def queries():
     return {
         "op1_benchmark_decontamination": decontam.op1,
+        "op2_line_dedup": lines.op2,
         "op3_minhash_near_dedup": probminhash.op3,
         "op5_quality_rules": quality.op5,
         "op6_chat_formatting": chat.op6,
@@ -21,6 +22,7 @@ def queries():
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_benchmark_decontamination": decontam.op1,
+        "op2_line_dedup": lines.op2,
         "op3_minhash_near_dedup": probminhash.op3,
         "op5_quality_rules": quality.op5,
         "op1_benchmark_decontamination": decontam.OP1_SQL,
