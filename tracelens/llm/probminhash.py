@@ -19,8 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import blank, cut, table
-from tracelens.llm.components import components
+from tracelens.llm.common import blank, cut, sized, table
+from tracelens.llm.components import linked
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair is missed with probability (1 - 0.8**ROWS)**BANDS = 0.0004.
@@ -199,13 +199,6 @@ def _verify(similarity: float):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of the (u, v) pairs whose texts are similar enough."""
-    left, right = texts.select(F.col("node").alias("u"), F.col("text").alias("a")), texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
-    both = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
-    return both.mapInArrow(_verify(similarity), "u binary, v binary")
-
-
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row of ``docs``: doc_id, class_id (the smallest doc_id of its class), kept (it is that document).
 
@@ -216,32 +209,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     keyed = docs.select("doc_id", F.unhex(F.md5(blank("text"))).alias("node"), blank("text").alias("text"))
     signed = cut(keyed.mapInArrow(_sign(bands, rows), f"doc_id {kind}, node binary, bands array<long>"), "signed")
     # one row per different text; which row it comes from doesn't matter, equal texts have equal bands
-    lead = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    member = cut(lead.select("node", "doc_id", F.explode("bands").alias("bucket")), "buckets")
-    shared = member.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    crowded = cut(member.join(shared, "bucket").select("bucket", "node", "doc_id", "leader"), "crowded")
-    # each different text that has a candidate, once, under its node
-    chosen = crowded.select("node", "doc_id").distinct()
-    same = (F.col("d.node") == F.col("c.node")) & F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))
-    texts = keyed.alias("d").join(chosen.alias("c"), same, "left_semi").select("node", "text")
-    texts = cut(texts, "texts").dropDuplicates(["node"])
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    nodes = cut(nodes, "nodes")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs, "pairs")
+        if pairs.isEmpty():
+            return pairs
+        ids = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+        wanted = cut(nodes.join(ids, "node", "left_semi").select("node", "doc_id"), "wanted")
+        same = (F.col("d.node") == F.col("w.node")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
+        texts = keyed.alias("d").join(sized(wanted, 60).alias("w"), same, "left_semi").select("node", "text")
+        texts = cut(texts.dropDuplicates(["node"]), "texts")
+        a, b = texts.select(F.col("node").alias("u"), F.col("text").alias("a")), texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
+        return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_verify(similarity), "u binary, v binary")
+
+    roots = linked(nodes.select("node", F.explode("bands").alias("bucket")), verify)
     rows_of = signed.select("doc_id", "node")
-    stars = crowded.filter("node != leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
-    edges = cut(_verified(stars, texts, similarity), "links")
-    roots = components(edges)
-    # pairs of a bucket that the stars left in different components: those outside a bucket's largest one, with all others
-    placed = crowded.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
-    split = cut(placed.join(main.select("bucket", F.col("top.root").alias("main")), "bucket"), "split")
-    x, y = split.filter("root != main").alias("x"), split.alias("y")
-    ahead = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & ahead)
-    cross = cross.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
-    cross = cross.join(stars, ["u", "v"], "left_anti")
-    more = cut(_verified(cross, texts, similarity), "links")
-    if not more.isEmpty():
-        roots = components(edges.union(more))
     labelled = rows_of.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return labelled.join(least, "root").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
