@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelens.llm import chat, decontam, lines, packing, probminhash, quality, sharding, spans, tokencount
+from tracelens.llm import chat, decontam, lines, packing, probminhash, quality, sharding, spans, suffix, tokencount
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_benchmark_decontamination": decontam.op1,
         "op2_line_dedup": lines.op2,
         "op3_minhash_near_dedup": probminhash.op3,
+        "op4_suffix_array_dedup": suffix.op4,
         "op5_quality_rules": quality.op5,
         "op6_chat_formatting": chat.op6,
         "op7_best_fit_packing": packing.op7,
@@ -24,7 +25,9 @@ def oracle_sql() -> dict[str, str]:
         "op1_benchmark_decontamination": decontam.op1,
         "op2_line_dedup": lines.op2,
         "op3_minhash_near_dedup": probminhash.op3,
+        "op4_suffix_array_dedup": suffix.op4,
         "op5_quality_rules": quality.op5,
         "op1_benchmark_decontamination": decontam.OP1_SQL,
+        "op4_suffix_array_dedup": suffix.OP4_SQL,
         "op6_chat_formatting": chat.OP6_SQL,
     }
