@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import blank, sha_hex, table
+from tracelens.llm.common import blank, cut, sha_hex, sized, table
 
 N = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -108,13 +108,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, remove: str
     """``docs`` without the documents that have a hit, or (``remove="spans"``) with the hit words cut out of
     ``text``. Other columns, repeated rows and null texts stay as they are."""
     found = hits(docs.select("doc_id", "text"), benchmark, n)
-    found = found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("spans").alias("_spans"))
+    found = cut(found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("spans").alias("_spans")), "hits")
+    found = sized(found, 120)
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(blank("text")) == F.col("_digest"))
     if remove == "documents":
         return docs.join(found.drop("_spans"), on, "left_anti")
-    cut = docs.join(found, on, "left")
+    joined = docs.join(found, on, "left")
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(without_spans(F.col("text"), F.col("_spans")))
-    return cut.withColumn("text", text).select(*docs.columns)
+    return joined.withColumn("text", text).select(*docs.columns)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,3 +244,25 @@ def judge(docs: DataFrame, chain: Chain, min_share: float = MIN_CONTENT_SHARE) -
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return judge(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def _retain(chain: Chain, min_share: float, at: int):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            ok = []
+            for t in batch.column(at):
+                text = t.as_py() or ""
+                raw = text.encode()
+                n, *_, repeated = base_counts(text, raw)
+                good = n >= MIN_WORDS and 100 * repeated <= MAX_REPEAT_SHARE * n
+                ok.append(good and chain.content_share(raw) >= min_share)
+            yield batch.filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def retain(docs: DataFrame, chain: Chain, min_share: float = MIN_CONTENT_SHARE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``judge`` keeps."""
+    return docs.mapInArrow(_retain(chain, min_share, docs.columns.index("text")), docs.schema)
