@@ -30,8 +30,8 @@ TOKENIZER = "byte_bpe_50k.json"
 SMALL = 64
 #: Groups of the linear grouping; more groups round less and plan longer.
 GROUPS = 256
-#: Buckets in which documents of one length are ranked.
-BUCKETS = 1024
+#: Buckets in which pieces of one length are ranked: full pieces, which are most, and those of any other length.
+FULL_BUCKETS, BUCKETS = 4096, 16
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -259,8 +259,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path:
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
     path = path or tokenizer_path()
     rows = docs.select("doc_id", blank("text").alias("text")).mapInArrow(_cutter(path, capacity, end_id), f"doc_id {kind}, {PIECES}")
-    rows = cut(rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")), "pieces")
-    held = rows.groupBy("length", "_bucket").count().collect()  # at most capacity x BUCKETS numbers
+    rows = cut(rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.when(F.col("length") == capacity, FULL_BUCKETS).otherwise(BUCKETS)).cast("int")), "pieces")
+    held = rows.groupBy("length", "_bucket").count().collect()  # at most FULL_BUCKETS + capacity x BUCKETS numbers
     counts: Counter = Counter()
     before = []
     for length, bucket, n in sorted(map(tuple, held)):
