@@ -28,7 +28,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     state = None
     for _ in range(max_rounds):
         pairs = _both(now)
-        large = _star(pairs, pairs.filter(F.col("v") > F.col("u"))).distinct()
+        large = _star(pairs, pairs.filter(F.col("v") > F.col("u")))
         # small-star: all edges point from the larger node to the smaller
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
@@ -44,24 +44,31 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def linked(member: DataFrame, verify, near=None) -> DataFrame:
+#: Nodes of a bucket that all its others are compared to first.
+LEADERS = 8
+
+
+def linked(member: DataFrame, verify, near, once=None) -> DataFrame:
     """node, root for the nodes that are linked: candidates share a bucket and ``verify`` keeps the pair.
 
-    ``member``: bucket, node and any further columns that ``near`` looks at. ``near(u, v)``, given two structs of
-    node and further columns, is a cheap condition that every link fulfils. ``verify`` maps (u, v) rows to those that are links.
-    First every node of a bucket is compared to the bucket's smallest. Then, of a bucket whose nodes are still in
-    different components, the pairs across components are compared, each with one node outside the
-    bucket's largest component. All pairs that could join two components are looked at, but a group of
-    many copies costs one comparison a copy.
+    ``member``: bucket, node and the further columns that ``near`` looks at. ``near(u, v)``, given two structs of
+    node and further columns, is a cheap condition that every link fulfils. ``once(u, v, bucket)`` picks one of the
+    buckets that two nodes share. ``verify`` maps (u, v) rows to those that are links.
+    First every node of a bucket is compared to ``LEADERS`` nodes picked by hash, which joins nearly all that belong together.
+    Then, of a bucket whose nodes are still in different components, the pairs across components are looked at, each with a
+    node outside the bucket's largest component; those that are near are verified. So every pair that could join two components is
+    decided, but a group of many copies costs a few comparisons a copy.
     """
     rest = [c for c in member.columns if c != "bucket"]
     shared = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     crowded = cut(member.join(shared, "bucket"), "crowded")
     own = F.struct(*rest)
-    leader = crowded.groupBy("bucket").agg(F.min(F.struct("node", *[c for c in rest if c != "node"])).alias("leader"))
-    stars = crowded.join(leader, "bucket").filter(F.col("node") != F.col("leader.node"))
-    stars = stars.filter(near(F.col("leader"), own)) if near else stars
-    stars = cut(stars.select(F.col("leader.node").alias("u"), F.col("node").alias("v")).distinct(), "stars")
+    picks = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node"))["node"] for k in range(LEADERS)]
+    leader = crowded.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("l")).select("bucket", F.explode("l").alias("node"))
+    leader = crowded.join(leader, ["bucket", "node"]).select(F.col("bucket").alias("_b"), own.alias("lead"))
+    seen = [F.col("_b") == F.col("bucket"), F.col("node") != F.col("lead.node"), near(F.col("lead"), own)]
+    stars = crowded.join(leader, seen[0] & seen[1] & seen[2])
+    stars = cut(stars.select(F.least("lead.node", "node").alias("u"), F.greatest("lead.node", "node").alias("v")).distinct(), "stars")
     edges = cut(verify(stars), "links")
     roots = components(edges)
     placed = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -71,8 +78,8 @@ def linked(member: DataFrame, verify, near=None) -> DataFrame:
     split = cut(split, "split")
     x, y = split.filter("root != main").alias("x"), split.alias("y")
     ahead = (F.col("y.root") == F.col("y.main")) | (F.col("x.own.node") < F.col("y.own.node"))
-    on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & ahead
-    cross = x.join(y, on & near(F.col("x.own"), F.col("y.own")) if near else on)
+    on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & ahead & near(F.col("x.own"), F.col("y.own"))
+    cross = x.join(y, on & once(F.col("x.own"), F.col("y.own"), F.col("x.bucket")) if once else on)
     cross = cross.select(F.least("x.own.node", "y.own.node").alias("u"), F.greatest("x.own.node", "y.own.node").alias("v")).distinct()
     more = cut(verify(cross.join(stars, ["u", "v"], "left_anti")), "links")
     return roots if more.isEmpty() else components(edges.union(more))

@@ -6,9 +6,9 @@ as soon as its next arrival is later than all registers hold (early termination)
 register. Two texts agree in a register with their probability Jaccard similarity as probability. Registers are cut
 in bands; texts that agree in a band are candidates and are verified by the exact probability Jaccard.
 
-Equal texts are one node. In a bucket of a band every node is compared to the bucket's leader, not to all; links give
-components; then only pairs of a bucket that are still in different components are compared, so a
-group of thousands of copies costs one comparison each, and no link between different classes is lost.
+Equal texts are one node. In a bucket of a band every node is compared to a few leaders, not to all; links give
+components; then only pairs of a bucket that are still in different components are looked at. A bitmap of the shingles bounds
+how similar two texts can be and rules most of these pairs out before their texts are fetched, and never one that is a link.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelens.llm.common import blank, cut, sized, table
@@ -26,6 +26,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair is missed with probability (1 - 0.8**ROWS)**BANDS = 0.0004.
 BANDS, ROWS = 20, 5
 BLOCK_BYTES = 2_000_000
+#: Longs of the bitmap that bounds how much two shingle sets can share.
+MASKS = 16
 SEED = 0x9E3779B97F4A7C15
 
 _FOLD = np.zeros(256, np.uint8)  # 0: not in a word; A-Z fold to a-z; bytes from 128 on are in words
@@ -127,6 +129,13 @@ def registers(n: int, owner: np.ndarray, hashes: np.ndarray, weights: np.ndarray
     return what.reshape(n, m)
 
 
+def bitmaps(n: int, owner: np.ndarray, hashes: np.ndarray, words: int) -> np.ndarray:
+    """n x words: each shingle flips one bit. Two bitmaps differ in no more bits than the shingle sets in shingles."""
+    spot = (mix(hashes, 77) % np.uint64(64 * words)).astype(np.int64)
+    flips = np.bincount(owner * 64 * words + spot, minlength=n * 64 * words).astype(np.uint8) & 1
+    return np.packbits(flips.reshape(n, -1), axis=1).view(np.int64).reshape(n, words)
+
+
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Exact: the sum over shared i of 1 / sum_j max(a_j / a_i, b_j / b_i). a, b: (sorted hashes, weights)."""
     (ha, wa), (hb, wb) = a, b
@@ -178,7 +187,10 @@ def _sign(bands: int, rows: int):
                     key = mix(key + np.arange(bands, dtype=np.uint64))
                 some = np.bincount(owner, minlength=len(texts)) > 0
                 lists = [k.tolist() if s else [] for k, s in zip(key.view(np.int64), some)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+                masks = bitmaps(len(texts), owner, hashes, MASKS)
+                size = np.bincount(owner, weights, len(texts))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int64())), pa.array(size), *(pa.array(masks[:, k]) for k in range(MASKS))],
+                    names=["doc_id", "node", "bands", "size", *(f"m{k}" for k in range(MASKS))])
 
     return run
 
@@ -199,6 +211,18 @@ def _verify(similarity: float):
     return run
 
 
+def _near(similarity: float):
+    """No pair of at least ``similarity`` fails this. With masses A >= B, at most A + (1 - s) B is the sum of the larger
+    weights of two such texts, and at most 1 - s of that is the number of shingles that only one of them has."""
+
+    def near(u: Column, v: Column) -> Column:
+        apart = sum((F.bit_count(u[f"m{k}"].bitwiseXOR(v[f"m{k}"])) for k in range(1, MASKS)), F.bit_count(u["m0"].bitwiseXOR(v["m0"])))
+        larger, smaller = F.greatest(u["size"], v["size"]), F.least(u["size"], v["size"])
+        return apart <= (1 - similarity) * (larger + (1 - similarity) * smaller) + 1e-6
+
+    return near
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row of ``docs``: doc_id, class_id (the smallest doc_id of its class), kept (it is that document).
 
@@ -207,9 +231,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     """
     kind = dict(docs.dtypes)["doc_id"]
     keyed = docs.select("doc_id", F.unhex(F.md5(blank("text"))).alias("node"), blank("text").alias("text"))
-    signed = cut(keyed.mapInArrow(_sign(bands, rows), f"doc_id {kind}, node binary, bands array<long>"), "signed")
+    signed = cut(keyed.mapInArrow(_sign(bands, rows), f"doc_id {kind}, node binary, bands array<long>, size double, " + ", ".join(f"m{k} long" for k in range(MASKS))), "signed")
     # one row per different text; which row it comes from doesn't matter, equal texts have equal bands
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    masks = [f"m{k}" for k in range(MASKS)]
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("size").alias("size"), *[F.first(m).alias(m) for m in masks])
     nodes = cut(nodes, "nodes")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -224,7 +249,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         a, b = texts.select(F.col("node").alias("u"), F.col("text").alias("a")), texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
         return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_verify(similarity), "u binary, v binary")
 
-    roots = linked(nodes.select("node", F.explode("bands").alias("bucket")), verify)
+    member = nodes.select("node", "bands", "size", *masks, F.explode("bands").alias("bucket"))
+    # two nodes meet in the first bucket of those they share
+    roots = linked(member, verify, _near(similarity), lambda u, v, bucket: F.array_intersect(u["bands"], v["bands"])[0] == bucket)
     rows_of = signed.select("doc_id", "node")
     labelled = rows_of.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("class_id"))
