@@ -48,20 +48,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 LEADERS = 8
 
 
-def linked(member: DataFrame, verify, near, once=None) -> DataFrame:
+def linked(member: DataFrame, traits: DataFrame, verify, near, once=None) -> DataFrame:
     """node, root for the nodes that are linked: candidates share a bucket and ``verify`` keeps the pair.
 
-    ``member``: bucket, node and the further columns that ``near`` looks at. ``near(u, v)``, given two structs of
-    node and further columns, is a cheap condition that every link fulfils. ``once(u, v, bucket)`` picks one of the
+    ``member``: bucket, node. ``traits``: node and the further columns that ``near`` looks at; only nodes that share a bucket
+    are joined to them. ``near(u, v)``, given two structs of node and traits, is a cheap condition that every link fulfils. ``once(u, v, bucket)`` picks one of the
     buckets that two nodes share. ``verify`` maps (u, v) rows to those that are links.
     First every node of a bucket is compared to ``LEADERS`` nodes picked by hash, which joins nearly all that belong together.
     Then, of a bucket whose nodes are still in different components, the pairs across components are looked at, each with a
     node outside the bucket's largest component; those that are near are verified. So every pair that could join two components is
     decided, but a group of many copies costs a few comparisons a copy.
     """
-    rest = [c for c in member.columns if c != "bucket"]
+    rest = traits.columns
     shared = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    crowded = cut(member.join(shared, "bucket"), "crowded")
+    crowded = cut(cut(member.join(shared, "bucket"), "crowded").join(traits, "node").select("bucket", *rest), "crowded")
     own = F.struct(*rest)
     picks = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node"))["node"] for k in range(LEADERS)]
     leader = crowded.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("l")).select("bucket", F.explode("l").alias("node"))

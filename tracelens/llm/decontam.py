@@ -16,6 +16,8 @@ from tracelens.llm.common import blank, cut, sha_hex, sized, table
 N = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before they are lower-cased.
+CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a block; bounds the memory that a very long text takes.
 BLOCK = 512
@@ -99,7 +101,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFram
 
 def without_spans(text: Column, spans: Column) -> Column:
     """``text`` without the words of the spans and the gaps that follow them."""
-    gaps, ws = F.split(text, WORD), F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    gaps, ws = F.split(text, CASED_WORD), F.regexp_extract_all(text, F.lit(CASED_WORD), F.lit(0))
     parts = F.transform(ws, lambda w, i: F.when(F.exists(spans, lambda s: (s["start"] <= i) & (i < s["end"])), "").otherwise(F.concat(w, F.element_at(gaps, i + 2))))
     return F.concat(F.element_at(gaps, 1), F.array_join(parts, ""))
 

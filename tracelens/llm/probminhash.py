@@ -249,9 +249,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         a, b = texts.select(F.col("node").alias("u"), F.col("text").alias("a")), texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
         return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_verify(similarity), "u binary, v binary")
 
-    member = nodes.select("node", "bands", "size", *masks, F.explode("bands").alias("bucket"))
+    member, traits = nodes.select("node", F.explode("bands").alias("bucket")), nodes.select("node", "bands", "size", *masks)
     # two nodes meet in the first bucket of those they share
-    roots = linked(member, verify, _near(similarity), lambda u, v, bucket: F.array_intersect(u["bands"], v["bands"])[0] == bucket)
+    roots = linked(member, traits, verify, _near(similarity), lambda u, v, bucket: F.array_intersect(u["bands"], v["bands"])[0] == bucket)
     rows_of = signed.select("doc_id", "node")
     labelled = rows_of.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("class_id"))
