@@ -30,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_benchmark_decontamination": decontam.OP1_SQL,
         "op4_suffix_array_dedup": suffix.OP4_SQL,
         "op6_chat_formatting": chat.OP6_SQL,
+        "op9_sharding": sharding.OP9_SQL,
     }

@@ -98,3 +98,30 @@ def feistel_shards(docs: DataFrame, n_shards: int = 40, seed: str = SEED, bucket
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards(table(spark, sf_dir, "documents"))
 
+
+
+def _sql_pass(source: str) -> str:
+    """One pass of the network over the column x of ``source``, as nested sub-queries."""
+    out = f"SELECT row_no, a, b, n, x % a AS l, x // a AS r FROM ({source})"
+    for j in range(ROUNDS):
+        mixed = lambda c, j=j: f"CAST('0x' || substr(md5('{SEED}:{j}:' || {c}), 1, 8) AS BIGINT)"
+        new = f"(l + {mixed('r')}) % a AS l, r" if j % 2 == 0 else f"l, (r + {mixed('l')}) % b AS r"
+        out = f"SELECT row_no, a, b, n, {new} FROM ({out})"
+    return f"SELECT row_no, a, b, n, l + a * r AS x FROM ({out})"
+
+
+OP9_SQL = f"""
+WITH RECURSIVE c(i, k, v) AS (  -- the reflected CRC-32 table, from its rule
+  SELECT range, 0, range FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM c WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS tab FROM c WHERE k = 8),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+e AS (SELECT doc_id, length(h) // 2 + {ROW_OVERHEAD} AS size, xor(list_reduce(list_transform(range(1, length(h) // 2 + 1), lambda i: CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT)),
+  lambda crc, byte: xor(crc >> 8, tab[(xor(crc, byte) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM d, tab),
+k AS (SELECT *, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size || ':' || text_crc32), 1, 8) AS BIGINT) % {BUCKETS} AS bucket FROM e),
+r AS (SELECT *, row_number() OVER (ORDER BY bucket, doc_id NULLS FIRST, size, text_crc32) - 1 AS row_no, count(*) OVER () AS n FROM k),
+s AS (SELECT row_no, n, row_no AS x, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS a FROM r),
+g AS (SELECT row_no, n, x, a, (n + a - 1) // a AS b FROM s),
+w AS ({_sql_pass('SELECT * FROM g')} UNION ALL {_sql_pass('SELECT * FROM w WHERE x >= n')})
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(x % 40 AS INTEGER) AS shard, CAST(x // 40 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM r JOIN w USING (row_no) WHERE w.x < w.n
+"""
