@@ -22,11 +22,6 @@ def queries():
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_benchmark_decontamination": decontam.op1,
-        "op2_line_dedup": lines.op2,
-        "op3_minhash_near_dedup": probminhash.op3,
-        "op4_suffix_array_dedup": suffix.op4,
-        "op5_quality_rules": quality.op5,
         "op1_benchmark_decontamination": decontam.OP1_SQL,
         "op4_suffix_array_dedup": suffix.OP4_SQL,
         "op6_chat_formatting": chat.OP6_SQL,
