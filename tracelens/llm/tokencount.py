@@ -131,6 +131,8 @@ def count_tokens(docs: DataFrame, store: CountStore | None = None, path: str | N
     misses = small.groupBy("text_digest").agg(F.min("doc_id").alias("_id")).join(known, "text_digest", "left_anti")
     chosen = keyed.join(misses.withColumnRenamed("text_digest", "_digest"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_digest") == F.col("_digest")), "left_semi")
     encoded = chosen.select("text_digest", "text").mapInArrow(_encoder(path), "text_digest string, n_tokens long")
+    # rows that repeat a doc_id with its text are encoded each, and stored once
+    encoded = encoded.dropDuplicates(["text_digest"])
     store.append(encoded.select("text_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens"))
     counts = store.read().filter(F.col("tokenizer_digest") == version).select("text_digest", "n_tokens")
     return small.join(counts, "text_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
