@@ -271,3 +271,34 @@ def test_pipeline_columns(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "benchmark_decontamination", "best_fit_packing"]
     assert out.count() > 100 and out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 1024
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_line_candidates_find_fuzzy_lines(spark):
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghiklmnoprstuvw") for _ in range(r.randint(2, 9)))
+    vocabulary, texts = [word() for _ in range(800)], []
+    for n in (6, 8, 10, 15, 20, 25, 40, 60) * 4:
+        a = [r.choice(vocabulary) for _ in range(n)]
+        b = list(a)
+        for k in r.sample(range(n), max(1, n // 10)):
+            b[k] = r.choice(vocabulary)
+        texts += [" ".join(a), " ".join(b)]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if 0.8 <= len(texts[i]) / len(texts[j]) <= 1.25 and distance(texts[i], texts[j]) <= 0.2 * max(len(texts[i]), len(texts[j]))]
+    assert len(near) >= 25
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, norm string")
+    buckets = {x["doc_id"]: set(x["buckets"]) for x in lines.signed(rows, ["doc_id"]).collect()}
+    assert sum(bool(buckets[i] & buckets[j]) for i, j in near) >= 0.93 * len(near)
+    out = {x["doc_id"]: x["n_removed"] for x in lines.dedup_lines(rows.withColumnRenamed("norm", "text")).collect()}
+    assert sum(out[max(p)] for p in near) >= 0.93 * len(near)
