@@ -302,3 +302,10 @@ def test_line_candidates_find_fuzzy_lines(spark):
     assert sum(bool(buckets[i] & buckets[j]) for i, j in near) >= 0.93 * len(near)
     out = {x["doc_id"]: x["n_removed"] for x in lines.dedup_lines(rows.withColumnRenamed("norm", "text")).collect()}
     assert sum(out[max(p)] for p in near) >= 0.93 * len(near)
+
+
+def test_short_words_count_in_lines(spark):
+    both = ["it is as he or we do so by us to me on an if at my up no go in of be", "it is as he or we do so by us to me on an if at my up no go in of elephant"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(both)], "doc_id long, norm string")
+    assert rows.select(F.size(lines.features(F.col("norm"))).alias("n")).collect()[1]["n"] == 23
+    assert [x["n_removed"] for x in lines.dedup_lines(rows.withColumnRenamed("norm", "text")).orderBy("doc_id").collect()] == [0, 1]
