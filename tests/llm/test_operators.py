@@ -309,3 +309,9 @@ def test_short_words_count_in_lines(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(both)], "doc_id long, norm string")
     assert rows.select(F.size(lines.features(F.col("norm"))).alias("n")).collect()[1]["n"] == 23
     assert [x["n_removed"] for x in lines.dedup_lines(rows.withColumnRenamed("norm", "text")).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_equal_short_lines_go(spark):
+    rows = spark.createDataFrame([(1, "Ja.\n\nnein"), (2, "ja.\n\nneun\nja. "), (3, "x")], "doc_id long, text string")
+    out = {(r["doc_id"], r["text"], r["n_removed"]) for r in lines.dedup_lines(rows).collect()}
+    assert out == {(1, "Ja.\n\nnein", 0), (2, "\nneun", 2), (3, "x", 0)}
