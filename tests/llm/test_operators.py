@@ -315,3 +315,20 @@ def test_equal_short_lines_go(spark):
     rows = spark.createDataFrame([(1, "Ja.\n\nnein"), (2, "ja.\n\nneun\nja. "), (3, "x")], "doc_id long, text string")
     out = {(r["doc_id"], r["text"], r["n_removed"]) for r in lines.dedup_lines(rows).collect()}
     assert out == {(1, "Ja.\n\nnein", 0), (2, "\nneun", 2), (3, "x", 0)}
+
+
+def test_long_sentences_are_cut_alike_at_any_offset():
+    import random
+
+    r = random.Random(4)
+    lost = 0
+    for lead in range(48):
+        passage = [f"w{r.randrange(400)}" for _ in range(60)]
+        a, b = (" ".join([f"{x}{k}" for k in range(n)] + passage + [f"{x}z{k}" for k in range(9)]) for x, n in (("a", 40), ("b", lead)))
+        seen = {s for _, _, s in spans.spans(spans.sentences(a))}
+        parts = spans.sentences(b)
+        assert "".join(b[x:y] for x, y, _ in parts) == b and max(len(w) for _, _, w in parts) <= spans.MAX_WORDS
+        lost += not any(s in seen for _, _, s in spans.spans(parts))
+    assert lost == 0
+    text = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(120))
+    assert {s for _, _, s in spans.spans(spans.sentences("甲乙丙丁" + text))} & {s for _, _, s in spans.spans(spans.sentences(text))}

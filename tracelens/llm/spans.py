@@ -1,7 +1,7 @@
 """10 Substring dedup: sliding spans of sentences.
 
 A text is cut into sentences (after ``.!?`` and a blank, and at line ends; sentences of more than
-``MAX_WORDS`` words are cut further). At each sentence starts one span: the fewest following sentences that
+``MAX_WORDS`` words are cut further, where the words say so). At each sentence starts one span: the fewest following sentences that
 are at least ``MIN_SENTENCES`` and have at least ``MIN_WORDS`` words. Spans are compared by a 128-bit digest of their
 normalised words. Of the equal spans of the whole corpus the first, by (doc_id, text digest, place), stays;
 sentences covered by any other one are removed. Digests are counted with map-side aggregation, then joined back
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,21 +20,47 @@ from pyspark.sql import functions as F
 from tracelens.llm.common import blank, table
 
 MIN_SENTENCES, MIN_WORDS, MAX_WORDS = 2, 16, 24
+#: Words of the hash that decides on a cut.
+AROUND = 2
 _END = re.compile(r"(?<=[.!?])\s+|\n\s*")
-_WORD = re.compile(r"\S+\s*")
+#: Thai to Tibetan, Burmese, Khmer, kana and Chinese characters: text without blanks between words.
+_UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD, _LONE = re.compile(f"[{_UNSPACED}]|[^\\s{_UNSPACED}]+"), re.compile(f"[{_UNSPACED}]")
+
+
+def _tokens(text: str, start: int, stop: int) -> list[tuple[int, str]]:
+    """(start, word) of a sentence; in scripts that have no blanks each character is a word."""
+    return [(m.start(), m.group()) for m in _WORD.finditer(text, start, stop)]
+
+
+def _cuts(words: list[str], max_words: int) -> list[int]:
+    """Where the pieces of a long sentence start. A piece ends where the hash of the ``AROUND`` words before the cut is the
+    least among its neighbours on both sides, so equal passages are cut alike wherever they lie. Pieces that are
+    still too long, such as runs of equal words, are cut by number from there."""
+    words, reach = [w.lower() for w in words], max(max_words // 8, 1)
+    marks = [crc32(" ".join(words[max(k - AROUND, 0) : k]).encode()) for k in range(len(words))]
+    n, out = len(words), [0]
+    for k in range(AROUND, n):
+        left, right = marks[max(k - reach, AROUND) : k], marks[k + 1 : k + 1 + reach]
+        if marks[k] < min(left, default=1 << 32) and marks[k] <= min(right, default=1 << 32):
+            out.append(k)
+    for a, b in zip(list(out), [*out[1:], n]):
+        out += range(a + max_words, b, max_words)
+    return sorted(out)
 
 
 def sentences(text: str, max_words: int = MAX_WORDS) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of each sentence with words; the ranges follow each other and cover the text but
     for blank lines and blanks at its start."""
-    out, at = [], 0
+    out, at, lone = [], 0, not text.isascii() and _LONE.search(text)
     for stop in [*[m.end() for m in _END.finditer(text)], len(text)]:
         words = text[at:stop].split()
-        if len(words) > max_words:
-            marks = [at + m.start() for m in _WORD.finditer(text[at:stop])]
-            marks[0] = at
-            for i in range(0, len(words), max_words):
-                out.append((marks[i], marks[i + max_words] if i + max_words < len(marks) else stop, words[i : i + max_words]))
+        if words and (len(words) > max_words or lone and _LONE.search(text, at, stop)):
+            tokens = _tokens(text, at, stop)
+            words = [w for _, w in tokens]
+            cuts = _cuts(words, max_words) if len(words) > max_words else [0]
+            marks = [at, *(tokens[k][0] for k in cuts[1:]), stop]
+            out += [(marks[i], marks[i + 1], words[a:b]) for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(words)]))]
         elif words:
             out.append((at, stop, words))
         at = stop
