@@ -332,3 +332,18 @@ def test_long_sentences_are_cut_alike_at_any_offset():
     assert lost == 0
     text = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(120))
     assert {s for _, _, s in spans.spans(spans.sentences("甲乙丙丁" + text))} & {s for _, _, s in spans.spans(spans.sentences(text))}
+
+
+def test_spans_reach_both_ends_of_repeated_runs():
+    import random
+
+    r = random.Random(6)
+    for _ in range(40):
+        pool = [" ".join(f"s{i}x{k}" for k in range(r.randint(3, 11))) + "." for i in range(60)]
+        common = r.sample(pool[:30], r.randint(3, 6))
+        a, b = ([*r.sample(pool[lo : lo + 15], 3), *common, *([] if r.random() < 0.3 else r.sample(pool[lo : lo + 15], 3))] for lo in (30, 45))
+        cut = [spans.sentences(" ".join(x)) for x in (a, b)]
+        runs = [{(i, j): " ".join(x[i:j]) for i in range(len(x)) for j in range(i + 2, len(x) + 1) if sum(len(w) for _, _, w in p[i:j]) >= spans.MIN_WORDS} for x, p in zip((a, b), cut)]
+        want = {k for (i, j), t in runs[1].items() if t in runs[0].values() for k in range(i, j)}
+        first = {s for _, _, s in spans.spans(cut[0])}
+        assert {k for i, n, s in spans.spans(cut[1]) if s in first for k in range(i, i + n)} == want

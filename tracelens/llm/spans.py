@@ -1,7 +1,7 @@
 """10 Substring dedup: sliding spans of sentences.
 
 A text is cut into sentences (after ``.!?`` and a blank, and at line ends; sentences of more than
-``MAX_WORDS`` words are cut further, where the words say so). At each sentence starts one span: the fewest following sentences that
+``MAX_WORDS`` words are cut further, where the words say so). At each sentence starts one span and ends one: the fewest sentences that
 are at least ``MIN_SENTENCES`` and have at least ``MIN_WORDS`` words. Spans are compared by a 128-bit digest of their
 normalised words. Of the equal spans of the whole corpus the first, by (doc_id, text digest, place), stays;
 sentences covered by any other one are removed. Digests are counted with map-side aggregation, then joined back
@@ -68,18 +68,29 @@ def sentences(text: str, max_words: int = MAX_WORDS) -> list[tuple[int, int, lis
 
 
 def spans(parts: list[tuple[int, int, list[str]]], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str]]:
-    """(first sentence, sentences, normalised text) of every span."""
+    """(first sentence, sentences, normalised text) of every span, in order: for each sentence the shortest run that starts there and
+    the shortest that ends there. A repeated run is covered by the spans within it, up to both its ends."""
     texts = [" ".join(w).lower() for _, _, w in parts]
     sizes = [len(w) for _, _, w in parts]
-    end, words, n = 0, 0, len(parts)
+    found, end, words, n = set(), 0, 0, len(parts)
     for first in range(n):
         while end < n and (end - first < min_sentences or words < min_words):
             words += sizes[end]
             end += 1
         if end - first < min_sentences or words < min_words:
-            return
-        yield first, end - first, "\n".join(texts[first:end])
+            break
+        found.add((first, end))
         words -= sizes[first]
+    first, words = 0, 0
+    for end in range(1, n + 1):
+        words += sizes[end - 1]
+        while end - first > min_sentences and words - sizes[first] >= min_words:
+            words -= sizes[first]
+            first += 1
+        if end - first >= min_sentences and words >= min_words:
+            found.add((first, end))
+    for first, end in sorted(found):
+        yield first, end - first, "\n".join(texts[first:end])
 
 
 def _span_rows(batches: Iterator) -> Iterator:
