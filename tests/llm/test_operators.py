@@ -347,3 +347,13 @@ def test_spans_reach_both_ends_of_repeated_runs():
         want = {k for (i, j), t in runs[1].items() if t in runs[0].values() for k in range(i, j)}
         first = {s for _, _, s in spans.spans(cut[0])}
         assert {k for i, n, s in spans.spans(cut[1]) if s in first for k in range(i, i + n)} == want
+
+
+def test_pipeline_near_dedup_keeps_other_texts(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (None, a, "x"), (None, c, "x"), (None, d, "x"), (3, d + " e", "x"), (2, b, "y"), (None, None, "x")]
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == sorted([(1, a), (2, b), (0, c), (3, d + " e"), (0, "")])
+    assert out.columns == ["doc_id", "text", "source"]

@@ -223,14 +223,15 @@ def _near(similarity: float):
     return near
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row of ``docs``: doc_id, class_id (the smallest doc_id of its class), kept (it is that document).
+def digest(text: str) -> Column:
+    """What tells different texts apart; null counts as empty."""
+    return F.unhex(F.md5(blank(text)))
 
-    Equal texts share a class, also empty ones; null text counts as empty. Repeated rows stay; a class whose
-    doc_ids are all null has a null class_id. Of rows that repeat a class's smallest doc_id all are marked kept.
-    """
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Per row of ``docs``: doc_id, node (the text's digest), root (one node of its class)."""
     kind = dict(docs.dtypes)["doc_id"]
-    keyed = docs.select("doc_id", F.unhex(F.md5(blank("text"))).alias("node"), blank("text").alias("text"))
+    keyed = docs.select("doc_id", digest("text").alias("node"), blank("text").alias("text"))
     signed = cut(keyed.mapInArrow(_sign(bands, rows), f"doc_id {kind}, node binary, bands array<long>, size double, " + ", ".join(f"m{k} long" for k in range(MASKS))), "signed")
     # one row per different text; which row it comes from doesn't matter, equal texts have equal bands
     masks = [f"m{k}" for k in range(MASKS)]
@@ -253,7 +254,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     # two nodes meet in the first bucket of those they share
     roots = linked(member, traits, verify, _near(similarity), lambda u, v, bucket: F.array_intersect(u["bands"], v["bands"])[0] == bucket)
     rows_of = signed.select("doc_id", "node")
-    labelled = rows_of.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    return rows_of.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Per row of ``docs``: doc_id, class_id (the smallest doc_id of its class), kept (it is that document).
+
+    Equal texts share a class, also empty ones; null text counts as empty. Repeated rows stay; a class whose
+    doc_ids are all null has a null class_id. Of rows that repeat a class's smallest doc_id all are marked kept.
+    """
+    labelled = classes(docs, similarity, bands, rows).select("doc_id", "root")
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return labelled.join(least, "root").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
