@@ -357,3 +357,14 @@ def test_pipeline_near_dedup_keeps_other_texts(spark):
     out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == sorted([(1, a), (2, b), (0, c), (3, d + " e"), (0, "")])
     assert out.columns == ["doc_id", "text", "source"]
+
+
+def test_links_at_exactly_the_similarity():
+    import pyarrow as pa
+
+    pairs = []
+    for k in range(1, 40):
+        words = [f"w{i}" for i in range(5 * k + 4)]
+        pairs.append((b"u", b"v", " ".join(words), " ".join(words[: 4 * k + 4])))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*pairs)], names=["u", "v", "a", "b"])
+    assert sum(out.num_rows for out in probminhash._verify(0.8)(iter([batch]))) == len(pairs)

@@ -196,6 +196,8 @@ def _sign(bands: int, rows: int):
 
 
 def _verify(similarity: float):
+    """A sum of fractions can come out a little below the similarity that it is."""
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -205,7 +207,7 @@ def _verify(similarity: float):
                 owner, hashes, weights = shingles(texts)
                 cuts = np.searchsorted(owner, np.arange(2 * n + 1))
                 side = lambda i: (hashes[cuts[i] : cuts[i + 1]], weights[cuts[i] : cuts[i + 1]])  # noqa: E731, B023
-                ok = [probability_jaccard(side(i), side(n + i)) >= similarity for i in range(n)]
+                ok = [probability_jaccard(side(i), side(n + i)) >= similarity - 1e-9 for i in range(n)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return run
