@@ -368,3 +368,12 @@ def test_links_at_exactly_the_similarity():
         pairs.append((b"u", b"v", " ".join(words), " ".join(words[: 4 * k + 4])))
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*pairs)], names=["u", "v", "a", "b"])
     assert sum(out.num_rows for out in probminhash._verify(0.8)(iter([batch]))) == len(pairs)
+
+
+def test_training_uses_all_lines(monkeypatch):
+    plain, marked = [0], [0, 4, 5]
+    docs = [([plain] * 80, 1), ([plain] * 60 + [marked] * 40, 0)] * 4
+    chain = quality.Chain().fit(docs)
+    assert chain.emit[5][1] > chain.emit[5][0] + 0.1
+    monkeypatch.setattr(quality, "BLOCK_LINES", 100)
+    assert np.allclose(quality.Chain().fit(docs).emit, chain.emit)

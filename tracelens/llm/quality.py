@@ -19,8 +19,8 @@ from tracelens.llm.common import blank, table
 
 #: The bound of the training sample, in documents.
 MAX_TRAINING_DOCS = 2000
-#: Lines of a training document that are used; decoding uses all lines of all documents.
-MAX_TRAINING_LINES = 60
+#: Lines, padded, of the training documents that are worked on at once; it bounds memory, not what is learned from.
+BLOCK_LINES = 100_000
 MIN_CONTENT_SHARE = 0.5
 MIN_WORDS, MAX_REPEAT_SHARE = 50, 50
 ROUNDS, STEP, RIDGE = 80, 0.25, 1e-3
@@ -93,28 +93,40 @@ class Chain:
 
     def fit(self, docs: list[tuple[list[list[int]], int]]) -> Chain:
         """docs: (feature rows, label) with label 1 for good documents. Both labels count the same in total."""
-        docs = [(rows[:MAX_TRAINING_LINES], 0 if good else 1) for rows, good in docs if rows]
-        per = [sum(y == s for _, y in docs) for s in (0, 1)]
+        docs = sorted(((rows, 0 if good else 1) for rows, good in docs if rows), key=lambda d: len(d[0]))
+        per, n = [sum(y == s for _, y in docs) for s in (0, 1)], len(docs)
         if not all(per):
             return self
+        blocks, lo = [], 0
+        for hi in range(1, n + 1):
+            if hi == n or (hi + 1 - lo) * len(docs[hi][0]) > BLOCK_LINES:
+                blocks.append(self.block(docs[lo:hi], [n / 2 / k for k in per]))
+                lo = hi
+        squares = [1e-8, 1e-8]
+        for _ in range(ROUNDS):
+            up, side = -RIDGE * self.emit, -RIDGE * self.move
+            for flat, on, weight, gold, moves_gold in blocks:
+                node, pair = self.marginals(flat, on.shape, on)
+                up += (flat.T @ ((gold - node) * weight[..., None]).reshape(-1, 2)) / n
+                side += (moves_gold - np.einsum("nkij,n->ij", pair, weight[:, 0])) / n
+            for i, (w, g) in enumerate(((self.emit, up), (self.move, side))):
+                squares[i] = squares[i] + g * g
+                w += STEP * g / np.sqrt(squares[i])
+        return self
+
+    @staticmethod
+    def block(docs, by_label):
+        """Features, which lines there are, weights and what the labels say, for documents of similar length."""
         n, t = len(docs), max(len(rows) for rows, _ in docs)
         x, on, y = np.zeros((n, t, len(FEATURES))), np.zeros((n, t)), np.array([y for _, y in docs])
         for i, (rows, _) in enumerate(docs):
             on[i, : len(rows)] = 1
             for k, r in enumerate(rows):
                 x[i, k, r] = 1
-        weight = np.array([len(docs) / 2 / per[s] for s in y])[:, None] / on.sum(1, keepdims=True)
+        weight = np.array([by_label[s] for s in y])[:, None] / on.sum(1, keepdims=True)
         gold = np.eye(2)[y][:, None, :] * on[..., None]
         moves_gold = np.einsum("ni,nj,n->ij", np.eye(2)[y], np.eye(2)[y], (on.sum(1) - 1) * weight[:, 0])
-        flat, squares = x.reshape(-1, len(FEATURES)), [1e-8, 1e-8]
-        for _ in range(ROUNDS):
-            node, pair = self.marginals(flat, (n, t), on)
-            up = (flat.T @ ((gold - node) * weight[..., None]).reshape(-1, 2)) / n - RIDGE * self.emit
-            side = (moves_gold - np.einsum("nkij,n->ij", pair, weight[:, 0])) / n - RIDGE * self.move
-            for i, (w, g) in enumerate(((self.emit, up), (self.move, side))):
-                squares[i] = squares[i] + g * g
-                w += STEP * g / np.sqrt(squares[i])
-        return self
+        return x.reshape(-1, len(FEATURES)), on, weight, gold, moves_gold
 
     def marginals(self, flat, shape, on):
         n, t = shape
@@ -216,8 +228,8 @@ def _features(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        rows = [line_features(t.as_py().encode().split(b"\n"))[0][:MAX_TRAINING_LINES] for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.list_(pa.int32())))], names=["quality", "rows"])
+        rows = [line_features(t.as_py().encode().split(b"\n"))[0] for t in batch.column(3)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, pa.list_(pa.list_(pa.int32())))], names=["quality", "key", "digest", "rows"])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -> Chain:
@@ -226,8 +238,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS)
     sample = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
     sample = sample.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "quality").limit(max_docs)
     # at most max_docs rows of two numbers, so the texts stay where they are
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("quality", "doc_id", blank("text").alias("text"))
-    rows = joined.select("quality", "text").mapInArrow(_features, "quality int, rows array<array<int>>").limit(4 * max_docs).collect()
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("quality", F.md5(F.col("doc_id").cast("string")).alias("key"), F.md5(blank("text")).alias("digest"), blank("text").alias("text"))
+    rows = joined.mapInArrow(_features, "quality int, key string, digest string, rows array<array<int>>").orderBy("key", "digest", "quality").limit(4 * max_docs).collect()
     rows = sorted((r["rows"], r["quality"]) for r in rows)
     return Chain().fit(rows)
 
