@@ -2,34 +2,59 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
-LOCAL_FALLBACK = "/tmp/tracelens-shared"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK).rstrip("/")
+    """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``. On one machine alone
+    a temporary folder will do; on a cluster nothing is guessed."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+#: Shuffle files go as soon as the query that wrote them is done, instead of when the driver next collects garbage.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder and read it back.
 
     Parquet is a few times smaller than a checkpoint of rows, survives the loss of any executor
-    and keeps column pruning for the readers. The files live as long as the shared folder does.
+    and keeps column pruning for the readers. The shuffle files of ``df`` aren't needed after that and go. The written files live
+    as long as the shared folder does, or until ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracelens/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Deletes what ``cut`` wrote; for tables that nothing will read again."""
+    for df in cuts:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def blank(c: Column | str) -> Column:
@@ -57,3 +82,18 @@ MAX_BROADCAST = 32 << 20
 def sized(df: DataFrame, row_bytes: int, max_bytes: int = MAX_BROADCAST) -> DataFrame:
     """``df``, a table that was cut, marked for broadcast if its counted rows fit the bound."""
     return F.broadcast(df) if df.count() * row_bytes <= max_bytes else df
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def whole(docs: DataFrame, *keys: Column) -> DataFrame:
+    """``keys`` (named) beside one struct ``_row`` of all columns of ``docs``, so that no name of a column can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *keys)
+
+
+def digest(text: Column | str = "text") -> Column:
+    """Tells the texts of one doc_id apart; null counts as empty."""
+    return F.xxhash64(blank(text))

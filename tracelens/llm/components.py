@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import cut
+from tracelens.llm.common import cut, discard, sized
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def _star(pairs: DataFrame, links: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root (the smallest node of its component) for every node of ``edges`` (u, v; any order, repeats and
     loops allowed, no nulls). Alternates large-star and small-star steps until the edges are stars; each round is
-    written to the shared folder. The number of rounds grows with the logarithm of the longest path squared at worst."""
+    written to the shared folder and the one before goes. The number of rounds grows with the logarithm of the longest path squared at worst."""
     now = cut(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     for _ in range(max_rounds):
@@ -34,7 +34,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         links = down.join(least, "u")
         small = links.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = cut(small.filter("u != v").distinct(), "edges")
+        before, now = now, cut(small.filter("u != v").distinct(), "edges")
+        discard(before)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (seen["n"], seen["h"]) == state:
             break
@@ -45,41 +46,50 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 #: Nodes of a bucket that all its others are compared to first.
-LEADERS = 8
+LEADERS = 3
 
 
-def linked(member: DataFrame, traits: DataFrame, verify, near, once=None) -> DataFrame:
+def crowd(member: DataFrame) -> DataFrame:
+    """The rows of ``member`` (bucket, node and more) whose bucket has another node. Buckets are counted with
+    map-side sums, and only those that are shared are joined back."""
+    shared = cut(member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "shared")
+    return cut(member.join(sized(shared, 24), "bucket"), "crowded")
+
+
+def linked(crowded: DataFrame, verify, near, once=None) -> DataFrame:
     """node, root for the nodes that are linked: candidates share a bucket and ``verify`` keeps the pair.
 
-    ``member``: bucket, node. ``traits``: node and the further columns that ``near`` looks at; only nodes that share a bucket
-    are joined to them. ``near(u, v)``, given two structs of node and traits, is a cheap condition that every link fulfils. ``once(u, v, bucket)`` picks one of the
-    buckets that two nodes share. ``verify`` maps (u, v) rows to those that are links.
+    ``crowded``: bucket, node and the further columns that ``near`` looks at, of the buckets with several nodes; a table that was
+    cut. ``near(u, v)``, given two structs of node and these, is a cheap condition that every link fulfils.
+    ``once(u, v, bucket)`` picks one of the buckets that two nodes share. ``verify`` maps (u, v) rows to those that are links.
     First every node of a bucket is compared to ``LEADERS`` nodes picked by hash, which joins nearly all that belong together.
     Then, of a bucket whose nodes are still in different components, the pairs across components are looked at, each with a
     node outside the bucket's largest component; those that are near are verified. So every pair that could join two components is
     decided, but a group of many copies costs a few comparisons a copy.
     """
-    rest = traits.columns
-    shared = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    crowded = cut(cut(member.join(shared, "bucket"), "crowded").join(traits, "node").select("bucket", *rest), "crowded")
-    own = F.struct(*rest)
-    picks = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node"))["node"] for k in range(LEADERS)]
-    leader = crowded.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("l")).select("bucket", F.explode("l").alias("node"))
-    leader = crowded.join(leader, ["bucket", "node"]).select(F.col("bucket").alias("_b"), own.alias("lead"))
-    seen = [F.col("_b") == F.col("bucket"), F.col("node") != F.col("lead.node"), near(F.col("lead"), own)]
-    stars = crowded.join(leader, seen[0] & seen[1] & seen[2])
+    own = F.struct(*[c for c in crowded.columns if c != "bucket"])
+    ranks = [F.xxhash64("node", F.lit(k)) for k in range(LEADERS)]
+    least = crowded.groupBy("bucket").agg(*[F.min(r).alias(f"_l{k}") for k, r in enumerate(ranks)])
+    leads = F.lit(False)
+    for k, r in enumerate(ranks):
+        leads = leads | (F.col(f"_l{k}") == r)
+    leader = crowded.join(least, "bucket").filter(leads).select(F.col("bucket").alias("_b"), own.alias("lead"))
+    stars = crowded.join(leader, (F.col("_b") == F.col("bucket")) & (F.col("node") != F.col("lead.node")) & near(F.col("lead"), own))
     stars = cut(stars.select(F.least("lead.node", "node").alias("u"), F.greatest("lead.node", "node").alias("v")).distinct(), "stars")
     edges = cut(verify(stars), "links")
     roots = components(edges)
     placed = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    sizes = cut(placed.groupBy("bucket", "root").agg(F.count("*").alias("n")), "sizes")
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
-    split = placed.join(main.select("bucket", F.col("top.root").alias("main")), "bucket").select("bucket", "root", "main", own.alias("own"))
+    main = cut(main.select("bucket", F.col("top.root").alias("main")), "main")
+    split = placed.join(sized(main, 40), "bucket").select("bucket", "root", "main", own.alias("own"))
     split = cut(split, "split")
     x, y = split.filter("root != main").alias("x"), split.alias("y")
     ahead = (F.col("y.root") == F.col("y.main")) | (F.col("x.own.node") < F.col("y.own.node"))
     on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & ahead & near(F.col("x.own"), F.col("y.own"))
     cross = x.join(y, on & once(F.col("x.own"), F.col("y.own"), F.col("x.bucket")) if once else on)
     cross = cross.select(F.least("x.own.node", "y.own.node").alias("u"), F.greatest("x.own.node", "y.own.node").alias("v")).distinct()
-    more = cut(verify(cross.join(stars, ["u", "v"], "left_anti")), "links")
+    cross = cut(cross.join(stars, ["u", "v"], "left_anti"), "cross")
+    discard(stars, split, sizes, main)
+    more = cut(verify(cross), "links")
     return roots if more.isEmpty() else components(edges.union(more))

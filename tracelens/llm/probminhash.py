@@ -19,8 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import blank, cut, sized, table
-from tracelens.llm.components import linked
+from tracelens.llm.common import blank, cut, discard, sized, table
+from tracelens.llm.components import crowd, linked
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair is missed with probability (1 - 0.8**ROWS)**BANDS = 0.0004.
@@ -241,9 +241,6 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     nodes = cut(nodes, "nodes")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs, "pairs")
-        if pairs.isEmpty():
-            return pairs
         ids = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
         wanted = cut(nodes.join(ids, "node", "left_semi").select("node", "doc_id"), "wanted")
         same = (F.col("d.node") == F.col("w.node")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
@@ -252,9 +249,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
         a, b = texts.select(F.col("node").alias("u"), F.col("text").alias("a")), texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
         return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_verify(similarity), "u binary, v binary")
 
-    member, traits = nodes.select("node", F.explode("bands").alias("bucket")), nodes.select("node", "bands", "size", *masks)
+    # only nodes that share a bucket are joined to their bitmaps
+    shared = crowd(nodes.select("node", F.explode("bands").alias("bucket")))
+    crowded = cut(shared.join(nodes.select("node", "bands", "size", *masks), "node"), "crowded")
+    discard(shared)
     # two nodes meet in the first bucket of those they share
-    roots = linked(member, traits, verify, _near(similarity), lambda u, v, bucket: F.array_intersect(u["bands"], v["bands"])[0] == bucket)
+    roots = linked(crowded, verify, _near(similarity), lambda u, v, bucket: F.array_intersect(u["bands"], v["bands"])[0] == bucket)
+    discard(crowded)
     rows_of = signed.select("doc_id", "node")
     return rows_of.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
