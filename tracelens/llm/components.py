@@ -45,8 +45,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-#: Nodes of a bucket that all its others are compared to first.
-LEADERS = 3
+#: Nodes of a bucket that all its others are compared to first, or by whose likeness the one in the middle is found.
+LEADERS = 8
 
 
 def crowd(member: DataFrame) -> DataFrame:
@@ -56,13 +56,15 @@ def crowd(member: DataFrame) -> DataFrame:
     return cut(member.join(sized(shared, 24), "bucket"), "crowded")
 
 
-def linked(crowded: DataFrame, verify, near, once=None) -> DataFrame:
+def linked(crowded: DataFrame, verify, near, once=None, alike=None) -> DataFrame:
     """node, root for the nodes that are linked: candidates share a bucket and ``verify`` keeps the pair.
 
     ``crowded``: bucket, node and the further columns that ``near`` looks at, of the buckets with several nodes; a table that was
     cut. ``near(u, v)``, given two structs of node and these, is a cheap condition that every link fulfils.
     ``once(u, v, bucket)`` picks one of the buckets that two nodes share. ``verify`` maps (u, v) rows to those that are links.
-    First every node of a bucket is compared to ``LEADERS`` nodes picked by hash, which joins nearly all that belong together.
+    First every node of a bucket is compared to ``LEADERS`` nodes picked by hash, which joins nearly all that belong together. If
+    ``alike(u, v)`` says how much two nodes have in common, it is compared instead to the one node that is most like these: copies of
+    one text are all nearer to it than to each other.
     Then, of a bucket whose nodes are still in different components, the pairs across components are looked at, each with a
     node outside the bucket's largest component; those that are near are verified. So every pair that could join two components is
     decided, but a group of many copies costs a few comparisons a copy.
@@ -74,6 +76,11 @@ def linked(crowded: DataFrame, verify, near, once=None) -> DataFrame:
     for k, r in enumerate(ranks):
         leads = leads | (F.col(f"_l{k}") == r)
     leader = crowded.join(least, "bucket").filter(leads).select(F.col("bucket").alias("_b"), own.alias("lead"))
+    if alike:
+        few = leader.groupBy("_b").agg(F.collect_list("lead").alias("few"))
+        score = F.aggregate("few", F.lit(0), lambda n, x: n + alike(x, F.col("_own")))
+        scored = crowded.select("bucket", own.alias("_own")).join(few, F.col("_b") == F.col("bucket")).select("bucket", "_own", score.alias("score"))
+        leader = scored.groupBy("bucket").agg(F.max(F.struct("score", "_own")).alias("top")).select(F.col("bucket").alias("_b"), F.col("top._own").alias("lead"))
     stars = crowded.join(leader, (F.col("_b") == F.col("bucket")) & (F.col("node") != F.col("lead.node")) & near(F.col("lead"), own))
     stars = cut(stars.select(F.least("lead.node", "node").alias("u"), F.greatest("lead.node", "node").alias("v")).distinct(), "stars")
     edges = cut(verify(stars), "links")

@@ -4,8 +4,9 @@ A text is cut into sentences (after ``.!?`` and a blank, and at line ends; sente
 ``MAX_WORDS`` words are cut further, where the words say so). At each sentence starts one span and ends one: the fewest sentences that
 are at least ``MIN_SENTENCES`` and have at least ``MIN_WORDS`` words. Spans are compared by a 128-bit digest of their
 normalised words. Of the equal spans of the whole corpus the first, by (doc_id, text digest, place), stays;
-sentences covered by any other one are removed. Digests are counted with map-side aggregation, then joined back
-only if they occur twice, so a span that a third of the documents share is no single task's work.
+sentences covered by any other one are removed. Digests are counted with map-side aggregation and joined back
+only if they occur twice; the join is a broadcast up to a checked size and a shuffle beyond it, which adaptive execution splits where a
+digest is hot. A text of fewer sentences or words than a span loses nothing, also if it is repeated whole.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from zlib import crc32
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import blank, table
+from tracelens.llm.common import blank, cut, digest, discard, sized, table
 
 MIN_SENTENCES, MIN_WORDS, MAX_WORDS = 2, 16, 24
 #: Words of the hash that decides on a cut.
@@ -98,7 +99,7 @@ def _span_rows(batches: Iterator) -> Iterator:
     import pyarrow as pa
     import xxhash
 
-    digest = xxhash.xxh3_128_digest
+    hashed = xxhash.xxh3_128_digest
     names = ["doc_id", "digest", "h1", "h2", "first", "n"]
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
@@ -109,7 +110,7 @@ def _span_rows(batches: Iterator) -> Iterator:
                     at.append(i)
                     first.append(a)
                     many.append(n)
-                    keys.append(digest(s))
+                    keys.append(hashed(s))
             both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             rows = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays([
@@ -137,14 +138,20 @@ def _cut_rows(batches: Iterator) -> Iterator:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, cover (array of first, n) for the documents that hold a span that isn't the first of its kind."""
+    """doc_id, digest, cover (array of first, n) for the documents that hold a span that isn't the first of its kind. Spans are made
+    once; digests are counted with map-side sums, and only the spans whose digest occurs twice are looked at further."""
     kind = dict(docs.dtypes)["doc_id"]
-    keyed = docs.select("doc_id", F.xxhash64(blank("text")).alias("digest"), blank("text").alias("text"))
-    rows = keyed.mapInArrow(_span_rows, f"doc_id {kind}, digest long, h1 long, h2 long, first int, n int")
+    keyed = docs.select("doc_id", digest().alias("digest"), blank("text").alias("text"))
+    rows = cut(keyed.mapInArrow(_span_rows, f"doc_id {kind}, digest long, h1 long, h2 long, first int, n int"), "spans")
+    many = cut(rows.groupBy("h1", "h2").agg(F.count("*").alias("times")).filter("times > 1").select("h1", "h2"), "many")
+    again = cut(rows.join(sized(many, 40), ["h1", "h2"]), "again")
+    discard(rows, many)
     place = F.struct("doc_id", "digest", "first")
-    first = rows.groupBy("h1", "h2").agg(F.min(place).alias("lead"), F.count("*").alias("times")).filter("times > 1").drop("times")
-    later = rows.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("lead")))
-    return later.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("first", "n")).alias("cover"))
+    lead = cut(again.groupBy("h1", "h2").agg(F.min(place).alias("lead")), "lead")
+    later = again.join(sized(lead, 80), ["h1", "h2"]).filter(~place.eqNullSafe(F.col("lead")))
+    cover = cut(later.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("first", "n")).alias("cover")), "cover")
+    discard(again, lead)
+    return cover
 
 
 def dedup_spans(docs: DataFrame) -> DataFrame:
@@ -155,7 +162,7 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     """
     kind = dict(docs.dtypes)["doc_id"]
     found = repeated_spans(docs)
-    keyed = docs.select("doc_id", F.xxhash64(blank("text")).alias("digest"), "text")
+    keyed = docs.select("doc_id", digest().alias("digest"), "text")
     on = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.digest") == F.col("f.digest"))
     joined = keyed.alias("d").join(found.alias("f"), on, "left").select("d.doc_id", "d.text", "f.cover")
     return joined.mapInArrow(_cut_rows, f"doc_id {kind}, n_sentences long, n_removed long, n_removed_words long, text string")

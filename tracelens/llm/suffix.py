@@ -110,19 +110,19 @@ def _starts_of(slices: int):
         import pyarrow as pa
 
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, texts in _texts(batch, 1):
+            keys, docs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for lo, texts in _texts(batch, 2):
                 owner, start, _, least = runs(b"".join(texts), np.cumsum([0, *map(len, texts)]))
                 order, which, bounds = _by_slice(slices, least)
-                key = keys[lo : lo + len(texts)][owner][order] if len(order) else np.zeros(0, np.int64)
+                key, doc = (x[lo : lo + len(texts)][owner][order] if len(order) else np.zeros(0, np.int64) for x in (keys, docs))
                 high, start = (least >> np.uint64(32)).astype(np.uint32)[order], start.astype(np.uint32)[order]
                 rows = []
                 for i, s in enumerate(which):
                     a, b = bounds[i], bounds[i + 1]
-                    rows.append((int(s), int(b - a), _pack(high[a:b]), _pack(np.diff(key[a:b], prepend=0)), _pack(start[a:b])))
+                    rows.append((int(s), int(b - a), _pack(high[a:b]), _pack(np.diff(key[a:b], prepend=0)), _pack(doc[a:b] - key[a:b]), _pack(start[a:b])))
                 if rows:
-                    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["slice", "n", "high", "keys", "starts"])
+                    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["slice", "n", "high", "keys", "docs", "starts"])
 
     return run
 
@@ -133,16 +133,17 @@ def _shared(batches: Iterator) -> Iterator:
 
     held: dict[int, list] = {}
     for batch in batches:
-        for s, n, high, keys, starts in zip(*(c.to_pylist() for c in batch.columns)):
-            held.setdefault(s, []).append((n, high, keys, starts))
+        for s, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+            held.setdefault(s, []).append(rest)
     for parts in held.values():
         high = np.concatenate([_unpack(p[1], np.uint32, p[0]) for p in parts])
         key = np.concatenate([np.cumsum(_unpack(p[2], np.int64, p[0])) for p in parts])
-        start = np.concatenate([_unpack(p[3], np.uint32, p[0]) for p in parts])
+        doc = key + np.concatenate([_unpack(p[3], np.int64, p[0]) for p in parts])
+        start = np.concatenate([_unpack(p[4], np.uint32, p[0]) for p in parts])
         order = np.argsort(high, kind="stable")
-        high, key, start = high[order], key[order], start[order]
+        high, key, doc, start = high[order], key[order], doc[order], start[order]
         first = np.flatnonzero(np.concatenate([[True], high[1:] != high[:-1]]))
-        many = np.minimum.reduceat(key, first) != np.maximum.reduceat(key, first)
+        many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
         keep = np.repeat(many, np.diff(np.append(first, len(high))))
         key, start = key[keep], start[keep]
         order = np.lexsort((start, key))
@@ -159,25 +160,25 @@ def _bytes_of(slices: int):
         import pyarrow as pa
 
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, texts in _texts(batch, 2):
+            keys, docs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for lo, texts in _texts(batch, 3):
                 raw, begins = b"".join(texts), np.cumsum([0, *map(len, texts)])
                 owner, start, size, least = runs(raw, begins)
-                wanted = [np.frombuffer(b"".join(x.as_py()), np.uint32).astype(np.int64) + begins[i] for i, x in enumerate(batch.column(1)[lo : lo + len(texts)])]
+                wanted = [np.frombuffer(b"".join(x.as_py()), np.uint32).astype(np.int64) + begins[i] for i, x in enumerate(batch.column(2)[lo : lo + len(texts)])]
                 pick = np.flatnonzero(np.isin(start + begins[owner], np.concatenate(wanted)))
                 owner, start, size, least = owner[pick], start[pick], size[pick], least[pick]
                 order, which, bounds = _by_slice(slices, least)
                 owner, start, size = owner[order], start[order], size[order]
-                key, begin = keys[lo : lo + len(texts)][owner], start + begins[owner]
+                key, doc, begin = keys[lo : lo + len(texts)][owner], docs[lo : lo + len(texts)][owner], start + begins[owner]
                 rows = []
                 for i, s in enumerate(which):
                     a, b = bounds[i], bounds[i + 1]
                     data = b"".join(raw[x : x + y] for x, y in zip(begin[a:b].tolist(), size[a:b].tolist()))
-                    rows.append((int(s), int(b - a), len(data), _pack(np.diff(key[a:b], prepend=0)), _pack(start[a:b].astype(np.uint32)),
+                    rows.append((int(s), int(b - a), len(data), _pack(np.diff(key[a:b], prepend=0)), _pack(doc[a:b] - key[a:b]), _pack(start[a:b].astype(np.uint32)),
                         _pack(size[a:b].astype(np.uint32)), pa.compress(data, codec="zstd", asbytes=True)))
                 if rows:
-                    kinds = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["slice", "n", "n_bytes", "keys", "starts", "sizes", "data"])
+                    kinds = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["slice", "n", "n_bytes", "keys", "docs", "starts", "sizes", "data"])
 
     return run
 
@@ -258,15 +259,16 @@ def _scan(batches: Iterator) -> Iterator:
     while held:
         _, parts = held.popitem()
         key = np.concatenate([np.cumsum(_unpack(p[2], np.int64, p[0])) for p in parts])
-        start = np.concatenate([_unpack(p[3], np.uint32, p[0]) for p in parts]).astype(np.int64)
-        size = np.concatenate([_unpack(p[4], np.uint32, p[0]) for p in parts]).astype(np.int64)
-        data = b"".join(pa.decompress(p[5], p[1], codec="zstd", asbytes=True) for p in parts)
+        doc = key + np.concatenate([_unpack(p[3], np.int64, p[0]) for p in parts])
+        start = np.concatenate([_unpack(p[4], np.uint32, p[0]) for p in parts]).astype(np.int64)
+        size = np.concatenate([_unpack(p[5], np.uint32, p[0]) for p in parts]).astype(np.int64)
+        data = b"".join(pa.decompress(p[6], p[1], codec="zstd", asbytes=True) for p in parts)
         del parts
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(doc, kind="stable")
         begin = np.cumsum(size) - size
         data = b"".join(data[a : a + n] for a, n in zip(begin[order].tolist(), size[order].tolist()))
         key, start = key[order], start[order]
-        found = covered(key, size[order], data)
+        found = covered(doc[order], size[order], data)
         if found:
             run, a, b = np.array(found, np.int64).T
             yield pa.RecordBatch.from_arrays([pa.array(key[run]), pa.array(start[run] + a), pa.array(start[run] + b)], names=["key", "a", "b"])
@@ -303,34 +305,34 @@ def _remove(batches: Iterator) -> Iterator:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, key, text. ``key`` is the doc_id (null: the smallest number), or, if documents with different
-    texts share one, a number in the order of (doc_id, digest of the text)."""
-    digest = F.md5(blank("text"))
+    """doc_id, key, doc, text. ``doc`` is the doc_id (null: the smallest number), by which documents are compared. ``key`` only tells
+    texts apart: it is ``doc`` too, or, if documents with different texts share one, a number for each (doc_id, digest of the text)."""
+    digest, doc = F.md5(blank("text")), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     ids = docs.select("doc_id", digest.alias("digest")).distinct()
-    ids = cut(ids.groupBy("doc_id").agg(F.count("*").alias("texts")).filter("texts > 1"), "clashes")
-    if ids.isEmpty():
-        return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), blank("text").alias("text"))
-    order = docs.select("doc_id", digest.alias("digest")).distinct().orderBy(F.col("doc_id").asc_nulls_first(), "digest")
-    order = cut(order.withColumn("key", F.monotonically_increasing_id()), "keys")
+    clashes = cut(ids.groupBy("doc_id").agg(F.count("*").alias("texts")).filter("texts > 1"), "clashes")
+    if clashes.isEmpty():
+        return docs.select("doc_id", doc.alias("key"), doc.alias("doc"), blank("text").alias("text"))
+    numbers = cut(ids.withColumn("key", F.monotonically_increasing_id()), "keys")
     same = F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (digest == F.col("o.digest"))
-    return docs.select("doc_id", "text").alias("d").join(order.alias("o"), same).select("d.doc_id", "o.key", blank("d.text").alias("text"))
+    both = docs.select("doc_id", "text").alias("d").join(numbers.alias("o"), same).select("d.doc_id", "o.key", blank("d.text").alias("text"))
+    return both.select("doc_id", "key", doc.alias("doc"), "text")
 
 
 def removals(rows: DataFrame) -> DataFrame:
-    """key, n_removed, n_spans, kept_sha256, kept (bytes) for the rows (key, text) that lose something."""
+    """key, n_removed, n_spans, kept_sha256, kept (bytes) for the rows (key, doc, text) that lose something."""
     spark = rows.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slices = max(LEAST_SLICES, SLICES_PER_PARTITION * partitions)
-    texts = rows.select("key", "text")
-    blocks = texts.mapInArrow(_starts_of(slices), "slice int, n int, high binary, keys binary, starts binary")
+    texts = rows.select("key", "doc", "text")
+    blocks = texts.mapInArrow(_starts_of(slices), "slice int, n int, high binary, keys binary, docs binary, starts binary")
     some = blocks.repartition(slices, "slice").mapInArrow(_shared, "key long, starts binary")
     wanted = cut(some.groupBy("key").agg(F.collect_list("starts").alias("starts")), "starts")
     # only texts with such runs move; their keys are broadcast if they fit the bound
     there = texts.join(sized(wanted.select("key"), 16), "key", "left_semi")
-    pieces = wanted.join(there, "key").select("key", "starts", "text").mapInArrow(_bytes_of(slices), "slice int, n int, n_bytes long, keys binary, starts binary, sizes binary, data binary")
+    pieces = wanted.join(there, "key").select("key", "doc", "starts", "text").mapInArrow(_bytes_of(slices), "slice int, n int, n_bytes long, keys binary, docs binary, starts binary, sizes binary, data binary")
     found = pieces.repartition(slices, "slice").mapInArrow(_scan, "key long, a long, b long")
     ranges = cut(found.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "ranges")
-    there = texts.join(sized(ranges.select("key"), 16), "key", "left_semi").dropDuplicates(["key"])
+    there = texts.select("key", "text").join(sized(ranges.select("key"), 16), "key", "left_semi").dropDuplicates(["key"])
     return ranges.join(there, "key").select("key", "ranges", "text").mapInArrow(_remove, "key long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
@@ -344,8 +346,9 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
 def removal_report(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    doc_id is an integer. Null text is empty and texts below 50 bytes keep everything. Repeated rows don't remove from
-    each other; null doc_id counts as smaller than all. Documents with one doc_id but different texts are ordered by digest.
+    doc_id is an integer. Null text is empty and texts below 50 bytes keep everything. Rows of one doc_id, repeated or with
+    different texts, don't remove from each other; null doc_id counts as smaller than all. An empty table gives no rows; further
+    columns aren't looked at.
     """
     rows = keyed(docs)
     lost = cut(removals(rows).drop("kept"), "lost")
