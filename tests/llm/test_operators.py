@@ -413,3 +413,23 @@ def test_line_dedup_with_clashing_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, n_removed long, gone string, _id string, _digest string")
     out = {r["doc_id"]: (r["text"], r["n_removed"], r["gone"], r["_id"]) for r in lines.dedup_lines(df).collect()}
     assert out == {1: (rows[0][1], 0, "x", "y"), 2: ("", 1, "x", "y")}
+
+
+CLASHES = ["_row", "_doc", "_id", "_digest", "_spans", "_node", "_first", "_hit", "gone", "digest", "norm"]
+
+
+def test_stages_with_clashing_columns_and_bad_rows(spark):
+    """Each filtering stage gives back the columns it got, for nulls, repeated ids and rows, without n_chars and for no rows."""
+    import corpus_pipeline
+
+    prose = " ".join(f"plain{i} words follow here and there{i}." for i in range(30))
+    rows = [(1, prose, 7), (1, "Other text. " + prose.replace("plain", "clear").replace("follow", "are read"), 7), (2, prose, 7), (2, prose, 7), (None, prose + "\nlast", None), (3, None, 7), (4, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long").select("*", *[F.lit(c).alias(c) for c in CLASHES])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, DATA)
+        assert out.columns == df.columns and out.schema.simpleString() == df.schema.simpleString(), name
+        assert all(r[c] == c for r in out.collect() for c in CLASHES)
+        assert stage(spark, df.filter("false"), DATA).count() == 0, name
+    with_chars = spark.createDataFrame([(1, "one line of words\nother", 23), (2, "one line of words\nrest", 22)], "doc_id long, text string, n_chars int")
+    out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup(spark, with_chars, DATA).collect()}
+    assert out == {1: ("one line of words\nother", 23), 2: ("rest", 4)}

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import blank, cut, sha_hex, sized, table
+from tracelens.llm.common import blank, cut, digest, sha_hex, table, whole
 
 N = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -21,7 +21,7 @@ CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a block; bounds the memory that a very long text takes.
 BLOCK = 512
-#: The hash set is broadcast up to this many bytes of window text; beyond, the join shuffles.
+#: The hash set is broadcast up to this many bytes of windows and item ids; beyond, the join shuffles.
 MAX_BROADCAST = 64 << 20
 
 
@@ -47,7 +47,7 @@ def test_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """doc_id, digest, spans (merged, 0-based word positions: start, end), items; only documents with hits."""
     grams = test_windows(benchmark, n)
-    size = grams.agg(F.sum(F.octet_length("window") + 40).alias("bytes"), F.sort_array(F.collect_set("n_window")).alias("lengths")).first()
+    size = grams.agg(F.sum(F.octet_length("window") + 40 + F.octet_length(F.array_join("items", ",")) + 24 * F.size("items")).alias("bytes"), F.sort_array(F.collect_set("n_window")).alias("lengths")).first()
     lengths = size["lengths"] or []
     held = F.broadcast(grams) if (size["bytes"] or 0) <= MAX_BROADCAST else grams
     ws = docs.select("doc_id", F.xxhash64(blank("text")).alias("digest"), words(blank("text")).alias("w")).filter(F.size("w") > 0)
@@ -110,14 +110,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, remove: str
     """``docs`` without the documents that have a hit, or (``remove="spans"``) with the hit words cut out of
     ``text``. Other columns, repeated rows and null texts stay as they are."""
     found = hits(docs.select("doc_id", "text"), benchmark, n)
-    found = cut(found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("spans").alias("_spans")), "hits")
-    found = sized(found, 120)
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(blank("text")) == F.col("_digest"))
+    found = cut(found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_hit"), F.col("spans").alias("_spans")), "hits")
+    most = found.agg(F.sum(F.size("_spans") * 8 + 60).alias("bytes")).first()["bytes"] or 0
+    found = F.broadcast(found) if most <= MAX_BROADCAST else found
+    rows = whole(docs, F.col("doc_id").alias("_doc"), digest().alias("_digest"))
+    on = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_hit"))
     if remove == "documents":
-        return docs.join(found.drop("_spans"), on, "left_anti")
-    joined = docs.join(found, on, "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(without_spans(F.col("text"), F.col("_spans")))
-    return joined.withColumn("text", text).select(*docs.columns)
+        return rows.join(found.drop("_spans"), on, "left_anti").select("_row.*")
+    text = F.when(F.col("_spans").isNull(), F.col("_row.text")).otherwise(without_spans(F.col("_row.text"), F.col("_spans")))
+    joined = rows.join(found, on, "left").select("_row", text.alias("_text"))
+    return joined.select(*[(F.col("_text") if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

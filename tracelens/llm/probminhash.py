@@ -188,7 +188,7 @@ def _sign(bands: int, rows: int):
                 some = np.bincount(owner, minlength=len(texts)) > 0
                 lists = [k.tolist() if s else [] for k, s in zip(key.view(np.int64), some)]
                 masks = bitmaps(len(texts), owner, hashes, MASKS)
-                size = np.bincount(owner, weights, len(texts))
+                size = np.bincount(owner, weights, len(texts)).astype(float)  # integers where there are no shingles at all
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int64())), pa.array(size), *(pa.array(masks[:, k]) for k in range(MASKS))],
                     names=["doc_id", "node", "bands", "size", *(f"m{k}" for k in range(MASKS))])
 
