@@ -103,11 +103,22 @@ def test_viterbi_is_the_best_path():
     assert tuple(chain.decode(rows)) == max(product((0, 1), repeat=7), key=score)
 
 
-def test_quality_accuracy_on_held_out(spark):
+def test_quality_on_held_out(spark):
+    """Verdicts on documents that weren't trained on, and lines inside documents that are part good, part bad."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    half = labels.filter("doc_id % 2 = 0")
-    out = quality.judge(docs, quality.train(docs, half, 100)).join(labels.filter("doc_id % 2 = 1"), "doc_id").filter("not base_failed").collect()
+    chain = quality.train(docs, labels.filter("doc_id % 2 = 0"), 200)
+    out = quality.judge(docs, chain).join(labels.filter("doc_id % 2 = 1"), "doc_id").join(docs.select("doc_id", "text"), "doc_id").filter("not base_failed").collect()
     assert len(out) > 100 and sum(r["kept"] == (r["quality"] == 1) for r in out) >= 0.97 * len(out)
+    split = lambda q: [[x for x in r["text"].encode().split(b"\n") if x.split()] for r in out if r["quality"] == q]
+    right = total = mixed = 0
+    for good, bad in zip(split(1), split(0)):
+        h = len(good) // 2
+        states = chain.decode(quality.line_features(good[:h] + bad + good[h:])[0])
+        want = [0] * h + [1] * len(bad) + [0] * (len(good) - h)
+        right += sum(map(int.__eq__, states, want))
+        total += len(want)
+        mixed += len(set(states)) == 2
+    assert mixed > 10 and right >= 0.9 * total
 
 
 def test_chat(spark):

@@ -2,9 +2,10 @@
 
 Each line with a word gets a few yes/no features; the chain has two states, content and boilerplate. Its
 weights are fitted here, by gradient ascent on the exact log-likelihood (forward-backward), to at most
-``MAX_TRAINING_DOCS`` labelled documents, chosen by digest of doc_id; every line of a document takes the
-document's label. Viterbi decoding marks the lines of every document; a document stays if content lines
-hold at least ``MIN_CONTENT_SHARE`` of its word characters and the base rules pass.
+``MAX_TRAINING_DOCS`` labelled documents, chosen by digest of doc_id. A line takes its document's label; and as the labels say
+nothing of where states change inside a document, each good document is also trained on with a bad one set into its middle, and the other way
+round, every line with the label of where it is from. Viterbi decoding marks the lines of every document; a document stays if
+content lines hold at least ``MIN_CONTENT_SHARE`` of its word characters and the base rules pass.
 """
 
 from __future__ import annotations
@@ -84,6 +85,17 @@ def line_features(lines: list[bytes]) -> tuple[list[list[int]], list[int]]:
     return rows, sizes
 
 
+def spliced(docs: list[tuple[list[list[int]], list[int]]]) -> list[tuple[list[list[int]], list[int]]]:
+    """Documents (feature rows, states) of which the states change: one set into the middle of another of the other state."""
+    good, bad = ([d for d in docs if d[1][0] == s] for s in (0, 1))
+    out = []
+    for pair in zip(good, bad):
+        for (outer, y), (inner, z) in (pair, pair[::-1]):
+            h = len(outer) // 2
+            out.append((outer[:h] + inner + outer[h:], y[:h] + z + y[h:]))
+    return out
+
+
 class Chain:
     """State 0 is content, 1 is boilerplate. ``emit``: features x 2, ``move``: 2 x 2."""
 
@@ -93,14 +105,16 @@ class Chain:
 
     def fit(self, docs: list[tuple[list[list[int]], int]]) -> Chain:
         """docs: (feature rows, label) with label 1 for good documents. Both labels count the same in total."""
-        docs = sorted(((rows, 0 if good else 1) for rows, good in docs if rows), key=lambda d: len(d[0]))
-        per, n = [sum(y == s for _, y in docs) for s in (0, 1)], len(docs)
+        plain = [(rows, [0 if good else 1] * len(rows)) for rows, good in docs if rows]
+        per = [sum(y[0] == s for _, y in plain) for s in (0, 1)]
         if not all(per):
             return self
-        blocks, lo = [], 0
+        given = [(rows, y, len(plain) / 2 / per[y[0]]) for rows, y in plain] + [(*d, 1.0) for d in spliced(plain)]
+        given.sort(key=lambda d: len(d[0]))
+        blocks, lo, n = [], 0, len(given)
         for hi in range(1, n + 1):
-            if hi == n or (hi + 1 - lo) * len(docs[hi][0]) > BLOCK_LINES:
-                blocks.append(self.block(docs[lo:hi], [n / 2 / k for k in per]))
+            if hi == n or (hi + 1 - lo) * len(given[hi][0]) > BLOCK_LINES:
+                blocks.append(self.block(given[lo:hi]))
                 lo = hi
         squares = [1e-8, 1e-8]
         for _ in range(ROUNDS):
@@ -115,17 +129,17 @@ class Chain:
         return self
 
     @staticmethod
-    def block(docs, by_label):
+    def block(docs):
         """Features, which lines there are, weights and what the labels say, for documents of similar length."""
-        n, t = len(docs), max(len(rows) for rows, _ in docs)
-        x, on, y = np.zeros((n, t, len(FEATURES))), np.zeros((n, t)), np.array([y for _, y in docs])
-        for i, (rows, _) in enumerate(docs):
+        n, t = len(docs), max(len(rows) for rows, *_ in docs)
+        x, on, gold = np.zeros((n, t, len(FEATURES))), np.zeros((n, t)), np.zeros((n, t, 2))
+        for i, (rows, y, _) in enumerate(docs):
             on[i, : len(rows)] = 1
+            gold[i, np.arange(len(rows)), y] = 1
             for k, r in enumerate(rows):
                 x[i, k, r] = 1
-        weight = np.array([by_label[s] for s in y])[:, None] / on.sum(1, keepdims=True)
-        gold = np.eye(2)[y][:, None, :] * on[..., None]
-        moves_gold = np.einsum("ni,nj,n->ij", np.eye(2)[y], np.eye(2)[y], (on.sum(1) - 1) * weight[:, 0])
+        weight = np.array([w for *_, w in docs])[:, None] / on.sum(1, keepdims=True)
+        moves_gold = np.einsum("nti,ntj,n->ij", gold[:, :-1], gold[:, 1:], weight[:, 0])
         return x.reshape(-1, len(FEATURES)), on, weight, gold, moves_gold
 
     def marginals(self, flat, shape, on):
