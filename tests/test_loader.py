@@ -114,6 +114,12 @@ def test_check_stack(spark):
     assert rows(automata.check_stack(frames), "idx", "name", "exit_name") == [(2, "a", "b")]
 
 
+def test_allocators_come_from_the_frame_below(spark):
+    events = [enter("<init>", 40), leave("<init>"), enter("main", 50), enter("<init>", 101), store(101, "f", 7), leave("<init>"), enter("<init>", 102, thread="t2"), leave("<init>", thread="t2"), enter("<init>", 103), leave("<init>"), leave("main")]
+    out = automata.log_field_refs(loader.flatten(frame(spark, events)))
+    assert rows(out, "id", "field", "vals") == [(50, "<ALLOCATED_OBJS>", [101, 103]), (101, "f", [7])]
+
+
 def test_binary_round_trip(tmp_path):
     events = [enter("main", 100, "Ä.B"), late(77, f=5, g=-3), store(50, "f", -5), load(50, "f", 6), var(3, 127, 9), varload(3, -2, 9), touch(8, True), leave("main"), touch(8, False), late(5)]
     path = tmp_path / "tracefile"

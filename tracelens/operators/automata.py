@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelens.operators import loader
+
 BACKGROUND = ("DestroyJavaVM",)
 
 
@@ -108,9 +110,11 @@ def log_var_refs(flat: DataFrame) -> DataFrame:
 
 
 def log_field_refs(flat: DataFrame) -> DataFrame:
-    """id, field, vals: what each field held; objects that an object's methods constructed come as ``<ALLOCATED_OBJS>``."""
+    """id, field, vals: what each field held; objects that were constructed while an object's method was on top of the thread's stack
+    come as its ``<ALLOCATED_OBJS>``. Constructors on an empty stack belong to no object."""
     f = flat.filter("kind = 'fieldstore'").select(F.col("callee").alias("id"), F.col("name").alias("field"), "val")
-    made = flat.filter("kind = 'methodenter' and name = '<init>' and caller is not null").select(F.col("caller").alias("id"), F.lit("<ALLOCATED_OBJS>").alias("field"), F.col("callee").alias("val"))
+    frames, _ = loader.in_frames(loader.with_depth(flat.filter("kind in ('methodenter', 'methodexit')")))
+    made = frames.filter("name = '<init>' and frame is not null").select(F.col("frame.callee").alias("id"), F.lit("<ALLOCATED_OBJS>").alias("field"), F.col("callee").alias("val"))
     return f.unionByName(made).groupBy("id", "field").agg(F.sort_array(F.collect_set("val")).alias("vals"))
 
 

@@ -64,7 +64,8 @@ QUERIES = {
   UNION ALL SELECT 'total', COUNT(*) FROM flat"""),
     "log_var_refs": (lambda f: _as_text(A.log_var_refs(f), "vals"), "SELECT caller AS id, callermethod || '::' || var AS var, ARRAY_TO_STRING(LIST_SORT(LIST(DISTINCT val)), ',') AS vals FROM flat WHERE kind = 'varstore' GROUP BY 1, 2"),
     "log_field_refs": (lambda f: _as_text(A.log_field_refs(f), "vals"), """SELECT id, field, ARRAY_TO_STRING(LIST_SORT(LIST(DISTINCT val)), ',') AS vals FROM (SELECT callee AS id, name AS field, val FROM flat WHERE kind = 'fieldstore'
-  UNION ALL SELECT caller, '<ALLOCATED_OBJS>', callee FROM flat WHERE kind = 'methodenter' AND name = '<init>') GROUP BY 1, 2"""),
+  UNION ALL SELECT below, '<ALLOCATED_OBJS>', callee FROM (SELECT callee, name, LAG(callee) OVER (PARTITION BY thread ORDER BY idx) AS below  -- no frame of the view ends
+    FROM flat WHERE kind = 'methodenter') WHERE name = '<init>' AND below IS NOT NULL) GROUP BY 1, 2"""),
     "log_types": (A.log_types, _TYPES),
     "lifetimes": (A.lifetimes, "SELECT callee AS id, MIN(idx) AS first, MAX(idx) AS last FROM flat WHERE callee > 4 GROUP BY callee"),
     "ignore_background": (lambda f: A.ignore_background(f).groupBy("thread").agg(F.count("*").alias("n")), "SELECT thread, COUNT(*) AS n FROM flat WHERE thread NOT LIKE '%JVM_Thread<%' AND thread <> 'DestroyJavaVM' GROUP BY thread"),

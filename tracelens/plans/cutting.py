@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests.
-LOCAL_FALLBACK = "/tmp/tracelens-shared"
-
 
 def work_path(spark: SparkSession, name: str) -> str:
-    base = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK).rstrip("/")
-    return f"{base}/tracelens/{name}-{uuid.uuid4().hex}"
+    """A new place in the folder that the cluster names in ``spark.checkpoint.dir``. On one machine alone a temporary folder
+    will do; on a cluster nothing is guessed."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return f"{named.rstrip('/')}/tracelens/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, path: str) -> DataFrame:

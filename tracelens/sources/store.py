@@ -80,6 +80,7 @@ class Store:
         if event_count is not None:
             meta["eventcount"] = str(event_count)
         self.spark.createDataFrame(list(meta.items()), META).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/meta")
+        self.cache.clear()  # its results are of the tables that were replaced
         return self
 
     def load(self, events: DataFrame, comment: str = "", classes: DataFrame | None = None, **options) -> Store:
@@ -91,7 +92,6 @@ class Store:
         self.write(tables, comment, events.count())
         loader.broken_rows(self.tables()).write.mode("overwrite").parquet(f"{self.folder}/rejected")
         quarantine.write.mode("overwrite").parquet(f"{self.folder}/quarantine")
-        self.cache.clear()
         return self
 
     def query(self, q: Query | str) -> DataFrame:
