@@ -5,8 +5,7 @@ A text is cut into sentences (after ``.!?`` and a blank, and at line ends; sente
 are at least ``MIN_SENTENCES`` and have at least ``MIN_WORDS`` words. Spans are compared by a 128-bit digest of their
 normalised words. Of the equal spans of the whole corpus the first, by (doc_id, text digest, place), stays;
 sentences covered by any other one are removed. Digests are counted with map-side aggregation and joined back
-only if they occur twice; the join is a broadcast up to a checked size and a shuffle beyond it, which adaptive execution splits where a
-digest is hot. A text of fewer sentences or words than a span loses nothing, also if it is repeated whole.
+only if they occur twice, by a shuffle at every size, which adaptive execution splits where a digest is hot. A text of fewer sentences or words than a span loses nothing, also if it is repeated whole.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from zlib import crc32
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import blank, cut, digest, discard, sized, table
+from tracelens.llm.common import blank, cut, digest, discard, table
 
 MIN_SENTENCES, MIN_WORDS, MAX_WORDS = 2, 16, 24
 #: Words of the hash that decides on a cut.
@@ -144,11 +143,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", digest().alias("digest"), blank("text").alias("text"))
     rows = cut(keyed.mapInArrow(_span_rows, f"doc_id {kind}, digest long, h1 long, h2 long, first int, n int"), "spans")
     many = cut(rows.groupBy("h1", "h2").agg(F.count("*").alias("times")).filter("times > 1").select("h1", "h2"), "many")
-    again = cut(rows.join(sized(many, 40), ["h1", "h2"]), "again")
+    again = cut(rows.join(many, ["h1", "h2"]), "again")
     discard(rows, many)
     place = F.struct("doc_id", "digest", "first")
     lead = cut(again.groupBy("h1", "h2").agg(F.min(place).alias("lead")), "lead")
-    later = again.join(sized(lead, 80), ["h1", "h2"]).filter(~place.eqNullSafe(F.col("lead")))
+    later = again.join(lead, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("lead")))
     cover = cut(later.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("first", "n")).alias("cover")), "cover")
     discard(again, lead)
     return cover
