@@ -444,3 +444,94 @@ def test_stages_with_clashing_columns_and_bad_rows(spark):
     with_chars = spark.createDataFrame([(1, "one line of words\nother", 23), (2, "one line of words\nrest", 22)], "doc_id long, text string, n_chars int")
     out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup(spark, with_chars, DATA).collect()}
     assert out == {1: ("one line of words\nother", 23), 2: ("rest", 4)}
+
+
+def bit_distance(a, b):
+    """Edit distance by Myers' bit vectors, a column of the table at a time."""
+    ones, top, at = (1 << len(a)) - 1, 1 << (len(a) - 1), {}
+    for k, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << k
+    up, down, score = ones, 0, len(a)
+    for c in b:
+        eq = at.get(c, 0)
+        flat = (((eq & up) + up) ^ up) | eq
+        plus, minus = down | ~(flat | up) & ones, up & flat
+        score += bool(plus & top) - bool(minus & top)
+        plus, minus = (plus << 1 | 1) & ones, minus << 1 & ones
+        up, down = minus | ~(eq | down | plus) & ones, plus & (eq | down)
+    return score
+
+
+def test_bit_distance():
+    import random
+
+    r = random.Random(1)
+    for _ in range(500):
+        a, b = ("".join(r.choice("abc") for _ in range(r.randint(1, 12))) for _ in "ab")
+        assert bit_distance(a, b) == distance(a, b)
+
+
+def test_line_groups_against_all_pairs(spark):
+    """Every pair of different lines of sf0.001: at least 0.9 of the links are found, and every group hangs together by links."""
+    df = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    norm = lambda x: re.sub(r"\s+", " ", x).strip().lower()
+    texts = sorted({norm(x) for r in df.collect() for x in (r["text"] or "").split("\n")} - {""}, key=lambda t: (len(t), t))
+    texts = [t for t in texts if len(t) >= lines.MIN_CHARS]
+    letters = np.array([np.bincount([ord(c) % 64 for c in t], minlength=64) for t in texts])
+    size = np.array([len(t) for t in texts])
+    links = []
+    for i, t in enumerate(texts):
+        most = np.floor(0.2 * size[i + 1 :] + 1e-9)
+        # an edit changes the letter counts by two at most, so this loses no link
+        for k in np.flatnonzero((np.abs(letters[i + 1 :] - letters[i]).sum(1) <= 2 * most) & (size[i + 1 :] - size[i] <= most)):
+            if bit_distance(t, texts[i + 1 + k]) <= most[k]:
+                links.append((t, texts[i + 1 + k]))
+    assert len(links) >= 20
+    # one line to a document, in this order: of a group of links the first stays
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = {r["text_"] for r in lines.dedup_lines(rows.withColumn("text_", F.col("text"))).filter("n_removed > 0").collect()}
+    assert sum(b in gone for _, b in links) >= 0.9 * len(links)
+    assert gone <= {t for pair in links for t in pair}
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    """Classes of sf0.01, and of copies of its texts with a word replaced now and then, against the probability Jaccard of every pair
+    of documents, written out as its definition."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [r["text"].split() for r in df.orderBy("doc_id").collect() if r["text"] and len(r["text"].split()) > 120][:100]
+    swap = lambda i, x, m: " ".join(f"swap{i}x{k}" if k % m == m // 2 else w for k, w in enumerate(x))
+    copies = [(100000 + i, swap(i, x, (40, 44, 46, 50, 60, 90)[i % 6])) for i, x in enumerate(texts)]
+    df = df.union(spark.createDataFrame(copies, df.schema)).repartition(8)
+    weights = {}
+    for r in df.collect():
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (r["text"] or "").encode()))
+        weights[r["doc_id"]] = Counter(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4)) if words)
+
+    def similarity(a, b):
+        a, b = ({k: n / sum(c.values()) for k, n in c.items()} for c in (a, b))
+        keys = a.keys() | b.keys()
+        return sum(1 / sum(max(a.get(j, 0) / a[i], b.get(j, 0) / b[i]) for j in keys) for i in a.keys() & b.keys())
+
+    distinct = {}
+    for d, c in sorted(weights.items()):
+        distinct.setdefault(frozenset(c.items()), d)
+    ids = [d for k, d in distinct.items() if k]
+    links = []
+    for i, u in enumerate(ids):
+        for v in ids[:i]:
+            a, b = weights[u], weights[v]
+            both = a.keys() & b.keys()
+            # a term of the sum is at most the shingle's own part of its text
+            if both and all(sum(c[s] for s in both) >= 0.8 * sum(c.values()) - 1e-6 for c in (a, b)) and similarity(a, b) >= 0.8 - 1e-9:
+                links.append((u, v))
+    assert len(links) >= 60
+    label = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(df).collect()}
+    assert sum(label[u] == label[v] for u, v in links) >= 0.99 * len(links)
+    root = {d: distinct[frozenset(c.items())] for d, c in weights.items()}
+    for u, v in links:
+        keep, go = sorted((root[u], root[v]))
+        root = {d: keep if r == go else r for d, r in root.items()}
+    groups = {}
+    for d, c in label.items():
+        groups.setdefault(c, set()).add(root[d])
+    assert all(len(g) == 1 for g in groups.values())
