@@ -1,25 +1,72 @@
 """Reachability as a semi-naive fixpoint.
 
-Each round joins only the newly found ids to the edges and writes those that weren't seen before; the set so far is
-read back from the rounds' files. A round costs one join and one anti join, and its plan doesn't grow.
+Each round joins only the newly found ids to the edges that still lead to ids not seen, and writes what it finds. Every few
+rounds the edges to seen ids are dropped, so a round compares with the ids found since then and not with all of them. A closure
+that is still running then has long paths; it gets shortcuts, so that the number of rounds follows the logarithm of a path and not its length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tracelens.plans.cutting import work_path
+from tracelens.plans.cutting import cut, work_path
+
+#: Rounds between two prunings of the edges.
+PRUNE = 8
+#: Prunings before shortcuts are made, and doublings of their first making; each later one adds as many.
+PATIENCE, DOUBLINGS = 2, 8
+
+
+def counted(df: DataFrame, path: str) -> int:
+    """Writes ``df`` and returns its number of rows, in one job."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return seen.get["n"]
+
+
+def shortcuts(edges: DataFrame, doublings: int, path: str) -> DataFrame:
+    """``edges`` and, of every id, edges to the ids 2, 4, ... steps on along one choice of successor: the largest, and the smallest.
+
+    Each leads to an id that can be reached anyway, so closures don't change. Successors from which nothing leads on are no choice.
+    Ids are given in the order of allocation, so lists, also doubly linked ones, mostly run along one of the two choices; singly linked ones always do.
+    At most two edges for every id and doubling are added.
+    """
+    onward = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").filter("src != dst")
+    ends = onward.groupBy("src").agg(F.max("dst").alias("up"), F.min("dst").alias("down"))
+    ways = ends.select("src", F.explode(F.array(F.struct(F.lit(0).alias("way"), F.col("up").alias("dst")), F.struct(F.lit(1).alias("way"), F.col("down").alias("dst")))).alias("w"))
+    step, levels = cut(ways.select("src", "w.way", "w.dst"), f"{path}/step=0"), []
+    for k in range(1, doublings + 1):
+        on = step.select(F.col("src").alias("dst"), "way", F.col("dst").alias("next"))
+        twice = step.join(on, ["dst", "way"]).filter("src != next").select("src", "way", F.col("next").alias("dst"))
+        if not counted(twice, f"{path}/step={k}"):
+            break
+        step = edges.sparkSession.read.schema(twice.schema).parquet(f"{path}/step={k}")
+        levels.append(step)
+    out = edges
+    for level in levels:
+        out = out.union(level.select("src", "dst"))
+    return out
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100_000) -> DataFrame:
-    """ids reachable from ``seeds`` (id) along ``edges`` (src, dst), seeds included."""
+    """ids reachable from ``seeds`` (id) along ``edges`` (src, dst), seeds included. Nulls lead nowhere; an empty table of either
+    kind gives the seeds."""
     spark, base = seeds.sparkSession, work_path(seeds.sparkSession, "reach")
-    seeds.select(F.col("id").cast("long")).distinct().write.parquet(f"{base}/round=0")
     files = lambda *rounds: spark.read.schema("id long").parquet(*[f"{base}/round={r}" for r in rounds])
+    found = counted(seeds.select(F.col("id").cast("long")).distinct(), f"{base}/round=0")
+    left, since = edges.select("src", "dst"), 0
     for n in range(1, max_rounds + 1):
-        new = edges.join(files(n - 1), F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct()
-        new.join(files(*range(n)), "id", "left_anti").write.parquet(f"{base}/round={n}")
-        if files(n).isEmpty():
+        if not found:
             return files(*range(n))
+        if n % PRUNE == 0:
+            left = cut(left.join(files(*range(since, n)), F.col("dst") == F.col("id"), "left_anti"), f"{base}/left={n}")
+            since, age = n, n // PRUNE
+            if age >= PATIENCE and age % PATIENCE == 0:
+                left = shortcuts(left, DOUBLINGS * age // PATIENCE, f"{base}/jumps={n}")
+                left = cut(left.distinct(), f"{base}/short={n}")
+        new = left.join(files(n - 1), F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct()
+        if since < n:
+            new = new.join(files(*range(since, n)), "id", "left_anti")
+        found = counted(new.filter("id is not null"), f"{base}/round={n}")
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
