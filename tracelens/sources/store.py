@@ -12,6 +12,7 @@ from tracelens.model import META, TABLES
 from tracelens.operators import loader
 from tracelens.plans.ast import Not, Query, digest, series_of_queries
 from tracelens.plans.compiler import Compiler
+from tracelens.plans.cutting import cut, work_path
 
 
 def _fs(spark: SparkSession, path: str):
@@ -84,7 +85,10 @@ class Store:
         return self
 
     def load(self, events: DataFrame, comment: str = "", classes: DataFrame | None = None, **options) -> Store:
-        """Loads an event trace: tables, metadata; rows that break an invariant go to ``rejected``."""
+        """Loads an event trace: tables, metadata; rows that break an invariant go to ``rejected``. The trace is decoded once, into
+        the folder that the cluster shares, and every table is made from that copy, which goes at the end."""
+        copy = work_path(self.spark, "events")
+        events = cut(events, copy)
         tables = loader.load(events, **options)
         quarantine = tables.pop("quarantine")
         if classes is not None:
@@ -92,6 +96,8 @@ class Store:
         self.write(tables, comment, events.count())
         loader.broken_rows(self.tables()).write.mode("overwrite").parquet(f"{self.folder}/rejected")
         quarantine.write.mode("overwrite").parquet(f"{self.folder}/quarantine")
+        fs, at = _fs(self.spark, copy)
+        fs.delete(at, True)
         return self
 
     def query(self, q: Query | str) -> DataFrame:
