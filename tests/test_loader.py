@@ -60,6 +60,15 @@ def test_late_init_is_an_option(spark):
 def test_broken_rows_are_reported(spark):
     t = loader.load(frame(spark, [store(0, "f", 5), load(50, "", 6)]))
     assert sorted(r["why"] for r in loader.broken_rows(t).collect()) == ["empty name", "zero id", "zero id"]
+    bad = {
+        "uses": "select cast(null as long) caller, 5L callee, 'f' name, '' method, cast(null as string) kind, 0L idx, cast(null as string) thread",
+        "refs": "select 5L caller, 6L callee, 'heap' kind, 'f' name, cast(null as long) refstart, cast(null as long) refend, 't' thread",
+        "calls": "select 5L caller, cast(null as long) callee, 'm' name, 7L callstart, 6L callend, 'C.java' callsitefile, 1L callsiteline, 't' thread",
+        "objects": "select cast(null as long) id, 'C' klass, cast(null as string) allocationsitefile, 1 allocationsiteline, 1L firstusage, 1L lastusage, 't' thread",
+    }
+    found = loader.broken_rows({k: spark.sql(v) for k, v in bad.items()})
+    assert {r["place"]: r["why"] for r in found.collect()} == {
+        "uses": "zero id, unknown kind, no place, no method, no thread", "refs": "unknown kind, no start", "calls": "zero id, ends too early", "objects": "zero id, no site"}
 
 
 def _mixed(n=400, seed=7):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelens.model import JVM, TABLES, USE_KINDS
+from tracelens.model import JVM, REF_KINDS, TABLES, USE_KINDS
 
 #: Events of a thread that one task of the depth computation sorts.
 CHUNK = 1_000_000
@@ -152,10 +152,14 @@ def last_usages(objs: DataFrame, used: DataFrame) -> DataFrame:
 
 def broken_rows(t: dict[str, DataFrame]) -> DataFrame:
     """Rows that violate an invariant: where, why, and the row as JSON. They are reported, loading goes on."""
+    zero = "coalesce(caller, 0) = 0 or coalesce(callee, 0) = 0"
+    kinds = lambda allowed: "coalesce(kind, '') not in ({})".format(", ".join(map(repr, allowed)))
+    blank = lambda column: f"coalesce({column}, '') = ''"
     rules = {
-        "uses": {"zero id": "caller = 0 or callee = 0", "unknown kind": "kind not in ({})".format(", ".join(map(repr, USE_KINDS))), "no place": "idx <= 0", "empty name": "coalesce(name, '') = ''"},
-        "refs": {"zero id": "caller = 0 or callee = 0", "no start": "refstart <= 0", "empty name": "coalesce(name, '') = ''"},
-        "objects": {"zero id": "id = 0"},
+        "uses": {"zero id": zero, "unknown kind": kinds(USE_KINDS), "no place": "coalesce(idx, 0) <= 0", "empty name": blank("name"), "no method": blank("method"), "no thread": blank("thread")},
+        "refs": {"zero id": zero, "unknown kind": kinds(REF_KINDS), "no start": "coalesce(refstart, 0) <= 0", "empty name": blank("name")},
+        "calls": {"zero id": zero, "no start": "coalesce(callstart, 0) <= 0", "empty name": blank("name"), "ends too early": "callend < callstart"},
+        "objects": {"zero id": "coalesce(id, 0) = 0", "no site": "allocationsitefile is null", "no thread": "thread is null"},
     }
     found = None
     for name, checks in rules.items():
