@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelens.llm import chat, decontam, lines, packing, probminhash, quality, sharding, spans, suffix, tokencount
+from tracelens.llm import centroids, chat, decontam, extraction, lines, negatives, packing, probminhash, quality, sharding, spans, suffix, tokencount
 
 
 def queries():
@@ -17,6 +17,9 @@ def queries():
         "op8_token_counts": tokencount.op8,
         "op9_sharding": sharding.op9,
         "op10_substring_dedup": spans.op10,
+        "op11_hard_negatives": negatives.op11,
+        "op12_centroid_clustering": centroids.op12,
+        "op13_html_extraction": extraction.op13,
     }
 
 
@@ -26,4 +29,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_suffix_array_dedup": suffix.OP4_SQL,
         "op6_chat_formatting": chat.OP6_SQL,
         "op9_sharding": sharding.OP9_SQL,
+        "op11_hard_negatives": negatives.OP11_SQL,
+        "op12_centroid_clustering": centroids.OP12_SQL,
+        "op13_html_extraction": extraction.OP13_SQL,
     }
