@@ -38,3 +38,10 @@ TABLES = {"objects": OBJECTS, "refs": REFS, "calls": CALLS, "uses": USES, "class
 USE_KINDS = ("fieldstore", "fieldload", "varstore", "varload", "read", "modify")
 READS, WRITES = ("fieldload", "read"), ("fieldstore", "modify")
 REF_KINDS = ("field", "var")
+
+
+def arrow_schema(ddl: str):
+    """The Arrow schema of a DDL string; made on the driver, for functions that give Arrow batches."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(T.StructType.fromDDL(ddl))

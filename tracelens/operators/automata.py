@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelens.model import arrow_schema
 from tracelens.operators import loader
+from tracelens.operators.scans import CHUNK, peaks, running
 
 BACKGROUND = ("DestroyJavaVM",)
 
@@ -50,43 +51,78 @@ def partitioned(flat: DataFrame, key: Column, inner: Callable[[DataFrame, str],
     return inner(flat.withColumn("key", key), "key")
 
 
-def forever(flat: DataFrame, predicate: Column, by: str = "callee") -> DataFrame:
+def forever(flat: DataFrame, predicate: Column, by: str = "callee", chunk: int = CHUNK) -> DataFrame:
     """idx, key, accepting: once the predicate failed for a key, it stays failed."""
-    upto = W.partitionBy(by).orderBy("idx").rowsBetween(W.unboundedPreceding, W.currentRow)
-    holds = F.min(F.coalesce(predicate, F.lit(False)).cast("int")).over(upto) == 1
-    return flat.select("idx", F.col(by).alias("key"), holds.alias("accepting"))
+    holds = F.coalesce(predicate, F.lit(False)).cast("int")
+    return running(flat, [by], "_holds", holds, "min", chunk=chunk).select("idx", F.col(by).alias("key"), (F.col("_holds") == 1).alias("accepting"))
 
 
-def observe(flat: DataFrame, by: str, start: Callable[[], object], step: Callable, accept: Callable) -> DataFrame:
-    """The general fold: for each key, ``step(state, event)`` over its events in order, then ``accept(state)``.
+def observe(flat: DataFrame, by: str, columns: list[str], state: str, summarise: Callable, combine: Callable, accept: Callable, chunk: int = CHUNK) -> DataFrame:
+    """The general fold, in two levels: key, accepting.
 
-    Events reach the fold as Arrow batches sorted by key and idx, so a key's events stream through; only the
-    state is held. Keys are hash-partitioned.
+    ``summarise(arrays)`` gets the ``columns`` of a key's events within one chunk, as numpy arrays in order of idx, and gives a tuple of the
+    fields of ``state`` (DDL); ``combine(a, b)`` joins the states of two neighbouring stretches of events, ``accept(state)`` decides. A
+    chunk of a key is one call over whole columns, and a hot key is as many groups as it has chunks; the second
+    level sees one row for each of them.
     """
     kind = dict(flat.dtypes)[by]
+    names = [x.split()[0] for x in state.split(", ")]
+    of_chunk, decided = arrow_schema(f"key {kind}, chunk long, {state}"), arrow_schema(f"key {kind}, accepting boolean")
 
-    def run(batches):
+    def first(batches):
         import pyarrow as pa
 
-        done, key, state, some = [], None, None, False
+        held = []
+        for key, chunk_no, arrays, ends in _stretches(batches, columns):
+            held.append(arrays)
+            if ends:
+                import numpy as np
+
+                out = summarise({c: np.concatenate([h[c] for h in held]) for c in columns})
+                held = []
+                yield pa.RecordBatch.from_pylist([{"key": key, "chunk": chunk_no, **dict(zip(names, out))}], of_chunk)
+
+    def second(batches):
+        import pyarrow as pa
+
+        now, done = None, []
         for batch in batches:
-            for event in batch.to_pylist():
-                if not some or event[by] != key:
-                    if some:
-                        done.append((key, bool(accept(state))))
-                    key, state, some = event[by], start(), True
-                state = step(state, event)
+            for row in batch.to_pylist():
+                part = tuple(row[n] for n in names)
+                if now is None or now[0] != row["key"]:
+                    if now is not None:
+                        done.append({"key": now[0], "accepting": bool(accept(now[1]))})
+                    now = (row["key"], part)
+                else:
+                    now = (now[0], combine(now[1], part))
             if done:
-                yield pa.RecordBatch.from_pylist([{"key": k, "accepting": a} for k, a in done], schema)
+                yield pa.RecordBatch.from_pylist(done, decided)
                 done = []
-        if some:
-            yield pa.RecordBatch.from_pylist([{"key": key, "accepting": bool(accept(state))}], schema)
+        if now is not None:
+            yield pa.RecordBatch.from_pylist([{"key": now[0], "accepting": bool(accept(now[1]))}], decided)
+
+    rows = flat.select(F.col(by).alias("key"), F.floor(F.col("idx") / chunk).alias("chunk"), "idx", *[c for c in columns if c != "idx"])
+    parts = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "idx").mapInArrow(first, f"key {kind}, chunk long, {state}")
+    return parts.repartition("key").sortWithinPartitions("key", "chunk").mapInArrow(second, f"key {kind}, accepting boolean")
+
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+def _stretches(batches, columns: list[str]):
+    """(key, chunk, columns as numpy arrays, whether the group ends here) of sorted Arrow batches; a group may span batches."""
+    import numpy as np
 
-    schema = to_arrow_schema(StructType.fromDDL(f"key {kind}, accepting boolean"))
-    return flat.repartition(by).sortWithinPartitions(by, "idx").mapInArrow(run, f"key {kind}, accepting boolean")
+    held = None
+    for batch in batches:
+        key, chunk = batch.column("key").to_pylist(), batch.column("chunk").to_numpy(zero_copy_only=False)
+        if not key:
+            continue
+        cuts = [i for i in (np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist()]
+        cuts = sorted({0, len(key), *cuts, *[i for i in range(1, len(key)) if key[i] != key[i - 1]]})
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held is not None:
+                yield (*held, (held[0], held[1]) != (key[lo], chunk[lo]))
+            held = (key[lo], int(chunk[lo]), {c: batch.column(c).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for c in columns})
+    if held is not None:
+        yield (*held, True)
 
 
 # ---- logs and counts
@@ -141,13 +177,11 @@ def dot(edges: list[tuple]) -> str:
     return "digraph {\n" + "".join(f'  "{a}" -> "{b}" [label="{label} x{n}"];\n' for a, b, label, n in edges) + "}\n"
 
 
-def max_in_degree(flat: DataFrame, n: int) -> DataFrame:
+def max_in_degree(flat: DataFrame, n: int, chunk: int = CHUNK) -> DataFrame:
     """id, ok: never more than n fields held the object at once."""
     s = flat.filter("kind = 'fieldstore'")
     moves = s.select("idx", F.explode(F.array(F.struct(F.col("val").alias("id"), F.lit(1).alias("d")), F.struct(F.col("oldval").alias("id"), F.lit(-1).alias("d")))).alias("m")).filter("m.id > 4")
-    net = moves.groupBy(F.col("m.id").alias("id"), "idx").agg(F.sum("m.d").alias("d"))
-    run = F.sum("d").over(W.partitionBy("id").orderBy("idx").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return net.select("id", run.alias("open")).groupBy("id").agg((F.max("open") <= n).alias("ok"))
+    return peaks(moves.select(F.col("m.id").alias("id"), "idx", F.col("m.d").alias("d")), "id", "idx", "d", chunk).select("id", (F.col("peak") <= n).alias("ok"))
 
 
 # ---- protocols
@@ -191,16 +225,15 @@ def stationary(flat: DataFrame) -> DataFrame:
     return _asked(flat, per.filter("r < w"))
 
 
-def loads_from_elsewhere(flat: DataFrame, variables: bool, any_variable: bool = False) -> DataFrame:
+def loads_from_elsewhere(flat: DataFrame, variables: bool, any_variable: bool = False, chunk: int = CHUNK) -> DataFrame:
     """id, idx of loads that come from another place than the newest store of the object."""
     kinds = ("fieldstore", "fieldload") + (("varstore", "varload") if variables else ())
     field = F.concat(F.lit("f:"), F.col("callee").cast("string"), F.lit(":"), F.coalesce("name", F.lit("")))
     slot = F.lit("v") if any_variable else F.concat(F.lit("v:"), F.col("caller").cast("string"), F.lit(":"), F.col("var").cast("string"))
     moves = flat.filter(F.col("kind").isin(*kinds) & (F.col("val") > 4)).select(
         F.col("val").alias("id"), "idx", F.col("kind").endswith("store").alias("store"), F.when(F.col("kind").startswith("field"), field).otherwise(slot).alias("place"))
-    before = W.partitionBy("id").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
-    newest = F.last(F.when(F.col("store"), F.col("place")), ignorenulls=True).over(before)
-    return moves.withColumn("newest", newest).filter(~F.col("store") & (F.col("newest") != F.col("place"))).select("id", "idx")
+    moves = running(moves, ["id"], "newest", F.when(F.col("store"), F.col("place")), inclusive=False, chunk=chunk)
+    return moves.filter(~F.col("store") & (F.col("newest") != F.col("place"))).select("id", "idx")
 
 
 def unique(flat: DataFrame) -> DataFrame:

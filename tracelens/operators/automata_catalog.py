@@ -52,11 +52,20 @@ def _as_text(df, column):
     return df.withColumn(column, F.concat_ws(",", F.transform(column, lambda v: v.cast("string"))))
 
 
+#: Chunks of so many events, so that there are several at every size.
+CHUNK = 1000
+
+
 def _observed(f):
-    """The stationary protocol once more, by the general fold."""
+    """The stationary protocol once more, by the general fold: (first read, last write) of a stretch, and whether a write follows a read."""
     e = f.filter(f"{A._MODIFY} or {A._READ}").select("idx", "callee", F.expr(A._READ).alias("is_read"))
-    step = lambda s, e: (s[0] or e["is_read"], s[1] or (s[0] and not e["is_read"]))
-    return A.observe(e, "callee", lambda: (False, False), step, lambda s: not s[1])
+
+    def summarise(x):
+        reads, writes = x["idx"][x["is_read"]], x["idx"][~x["is_read"]]
+        return bool(len(reads)), bool(len(writes)), bool(len(reads) and len(writes) and writes[-1] > reads[0])
+
+    combine = lambda a, b: (a[0] or b[0], a[1] or b[1], a[2] or b[2] or (a[0] and b[1]))
+    return A.observe(e, "callee", ["idx", "is_read"], "has_read boolean, has_write boolean, broken boolean", summarise, combine, lambda s: not s[2], CHUNK)
 
 
 QUERIES = {
@@ -70,13 +79,13 @@ QUERIES = {
     "lifetimes": (A.lifetimes, "SELECT callee AS id, MIN(idx) AS first, MAX(idx) AS last FROM flat WHERE callee > 4 GROUP BY callee"),
     "ignore_background": (lambda f: A.ignore_background(f).groupBy("thread").agg(F.count("*").alias("n")), "SELECT thread, COUNT(*) AS n FROM flat WHERE thread NOT LIKE '%JVM_Thread<%' AND thread <> 'DestroyJavaVM' GROUP BY thread"),
     "events_counted": (A.counted, "SELECT COUNT(*) AS events, MAX(idx) AS last_idx FROM flat"),
-    "forever_not_modified": (lambda f: A.forever(f, ~F.expr(A._MODIFY)), f"SELECT idx, callee AS key, MIN(CASE WHEN {_MODIFY} THEN 0 ELSE 1 END) OVER (PARTITION BY callee ORDER BY idx) = 1 AS accepting FROM flat"),
+    "forever_not_modified": (lambda f: A.forever(f, ~F.expr(A._MODIFY), chunk=CHUNK), f"SELECT idx, callee AS key, MIN(CASE WHEN {_MODIFY} THEN 0 ELSE 1 END) OVER (PARTITION BY callee ORDER BY idx) = 1 AS accepting FROM flat"),
     "observe_stationary": (_observed, f"SELECT DISTINCT callee AS key, callee NOT IN ({_STATIONARY}) AS accepting FROM flat WHERE {_MODIFY} OR {_READ}"),
     "two_counts": (lambda f: A.two(A.counted(f), A.counted(f.filter("kind = 'fieldstore'"))), "SELECT '1' AS label, COUNT(*) AS events, MAX(idx) AS last_idx FROM flat UNION ALL SELECT '2', COUNT(*), MAX(idx) FROM flat WHERE kind = 'fieldstore'"),
     "partition_by_thread": (lambda f: A.partitioned(f, F.col("thread"), lambda e, k: e.groupBy(k, "kind").agg(F.count("*").alias("n"))), "SELECT thread AS key, kind, COUNT(*) AS n FROM flat GROUP BY 1, 2"),
     "reference_graph": (A.reference_graph, """SELECT src, dst, label, CAST(SUM(d) AS BIGINT) AS n FROM (SELECT callee AS src, val AS dst, name AS label, 1 AS d FROM flat WHERE kind = 'fieldstore'
   UNION ALL SELECT callee, oldval, name, -1 FROM flat WHERE kind = 'fieldstore') WHERE dst <> 0 GROUP BY 1, 2, 3 HAVING SUM(d) <> 0"""),
-    "max_in_degree": (lambda f: A.max_in_degree(f, 1), _DEGREE),
+    "max_in_degree": (lambda f: A.max_in_degree(f, 1, CHUNK), _DEGREE),
     "proto_any": (A.any_object, _asked("SELECT -99")),
     "proto_immutable": (A.immutable, _asked(_IMMUTABLE)),
     "proto_thread_local": (A.thread_local, _asked(_LOCAL)),

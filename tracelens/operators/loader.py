@@ -1,8 +1,8 @@
 """Events to tables.
 
 The loader's call stacks are expressed as windows. A running depth per thread (computed in two levels, chunks of the
-trace first, so one busy thread is not one task) gives every event the frame level it happens in; the frame itself is the
-last one entered at that level. An exit closes the frame of its level whatever its name says; if the names differ, no call is
+trace first) gives every event the frame level it happens in; the frame itself is the last one entered at that level, which is looked up
+in two levels as well, so neither one busy thread nor a trace of one thread and level is one task. An exit closes the frame of its level whatever its name says; if the names differ, no call is
 written. Exits on an empty stack go to quarantine and don't lower the depth.
 """
 
@@ -13,9 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelens.model import JVM, REF_KINDS, TABLES, USE_KINDS
+from tracelens.operators.scans import CHUNK, running
+from tracelens.plans.cutting import cut, delete, work_path
 
-#: Events of a thread that one task of the depth computation sorts.
-CHUNK = 1_000_000
 IGNORED_THREADS = ("DestroyJavaVM", "Finalizer")
 UNKNOWN_THREAD, UNKNOWN_METHOD = "<unknown thread>", "<unknown>"
 
@@ -68,24 +68,27 @@ def with_depth(flat: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return e.withColumn("underflow", (F.col("kind") == "methodexit") & (run < prior_low)).withColumn("depth", run - low).drop("_step", "_chunk", "_sum", "_low", "_base", "_floor")
 
 
-def in_frames(deep: DataFrame) -> tuple[DataFrame, DataFrame]:
+def in_frames(deep: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """(frames, others): the method frames with their exit and the frame below, and the stores and reads that need
     to know the frame they happen in (frame, frame_name; null on an empty stack)."""
     enter, leave = F.col("kind") == "methodenter", (F.col("kind") == "methodexit") & ~F.col("underflow")
-    level = F.when(leave, F.col("depth") + 1).otherwise(F.col("depth"))
-    at_level = W.partitionBy("thread", "level").orderBy("idx")
-    own = deep.filter(enter | leave).withColumn("level", level)
-    own = own.withColumn("exit", F.when(F.lead("kind").over(at_level) == "methodexit", F.lead("idx").over(at_level))).withColumn("exit_name", F.when(F.col("exit").isNotNull(), F.lead("name").over(at_level)))
-    entered = own.filter(enter)
-    # frames look one level down for their caller, other events look at their own level
-    asks = entered.select("*", F.lit(True).alias("asks")).withColumn("level", F.col("level") - 1)
+    spark = deep.sparkSession
+    places = [work_path(spark, name) for name in ("deep", "entered", "framed")]
+    # each step looks at its rows twice, so it gets them from a table and not from all that led to them
+    deep = cut(deep, places[0])
+    own = deep.filter(enter | leave).withColumn("level", F.when(leave, F.col("depth") + 1).otherwise(F.col("depth")))
+    own = running(own, ["thread", "level"], "_next", F.struct("kind", "idx", "name"), inclusive=False, back=True, chunk=chunk)
+    closed = F.col("_next.kind") == "methodexit"
+    entered = cut(own.filter(enter).withColumn("exit", F.when(closed, F.col("_next.idx"))).withColumn("exit_name", F.when(closed, F.col("_next.name"))).drop("_next"), places[1])
+    # a frame is a fact at its own level and asks one level down for its caller; other events ask at their own level
+    roles = F.array(*[F.struct((F.col("level") - down).alias("level"), F.lit(bool(down)).alias("asks")) for down in (0, 1)])
+    both = entered.withColumn("_role", F.explode(roles)).withColumn("level", F.col("_role.level")).withColumn("asks", F.col("_role.asks")).drop("_role")
     frame_of = deep.filter(F.col("kind").isin("readmodify", "varstore")).withColumn("level", F.col("depth")).withColumn("asks", F.lit(True))
-    facts = entered.withColumn("asks", F.lit(False))
-    rows = facts.unionByName(asks).unionByName(frame_of, allowMissingColumns=True)
-    upto = W.partitionBy("thread", "level").orderBy("idx").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = both.unionByName(frame_of, allowMissingColumns=True)
     fact = F.when(~F.col("asks"), F.struct(F.col("idx").alias("idx"), F.col("callee").alias("callee"), F.col("name").alias("name"), F.col("exit").alias("exit"), (F.col("exit_name") == F.col("name")).alias("clean")))
-    found = rows.withColumn("frame", F.last(fact, ignorenulls=True).over(upto)).filter("asks")
-    found = found.withColumn("frame", F.when(F.col("level") > 0, F.col("frame")))
+    found = running(rows, ["thread", "level"], "frame", fact, chunk=chunk).filter("asks")
+    found = cut(found.withColumn("frame", F.when(F.col("level") > 0, F.col("frame"))), places[2])
+    delete(spark, *places[:2])
     return found.filter(enter), found.filter(~enter)
 
 
@@ -99,21 +102,21 @@ def uses(flat: DataFrame, framed: DataFrame) -> DataFrame:
     return plain.unionByName(touched)
 
 
-def field_refs(flat: DataFrame, null_store_closes: bool = False) -> DataFrame:
+def field_refs(flat: DataFrame, null_store_closes: bool = False, chunk: int = CHUNK) -> DataFrame:
     """Field edges: opened by a store of an object, closed by the next one to the same field. Storing null closes nothing
     unless asked to."""
     stores = flat.filter(F.col("kind") == "fieldstore")
     stores = stores if null_store_closes else stores.filter("val != 0")
-    end = F.lead("idx").over(W.partitionBy("callee", "name").orderBy("idx"))
-    return stores.withColumn("refend", end).filter("val != 0").select(
+    return running(stores, ["callee", "name"], "refend", F.col("idx"), inclusive=False, back=True, chunk=chunk).filter("val != 0").select(
         F.col("callee").alias("caller"), F.col("val").alias("callee"), F.lit("field").alias("kind"), "name", F.col("idx").alias("refstart"), "refend", "thread")
 
 
-def var_refs(framed: DataFrame) -> DataFrame:
+def var_refs(framed: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Variable edges: closed by the next store to the slot in the same frame, or by the frame's exit if it ran cleanly."""
     stores = framed.filter(F.col("kind") == "varstore")
-    slot = W.partitionBy("thread", "frame.idx", "var").orderBy("idx")
-    end = F.when(F.col("frame").isNotNull(), F.coalesce(F.lead("idx").over(slot), F.when(F.col("frame.clean"), F.col("frame.exit"))))
+    slot = ["thread", F.col("frame.idx").alias("frame"), "var"]
+    stores = running(stores, slot, "_later", F.col("idx"), inclusive=False, back=True, chunk=chunk)
+    end = F.when(F.col("frame").isNotNull(), F.coalesce("_later", F.when(F.col("frame.clean"), F.col("frame.exit"))))
     return stores.withColumn("refend", end).filter("val != 0").select(
         "caller", F.col("val").alias("callee"), F.lit("var").alias("kind"), F.concat(F.lit("var_"), F.col("var").cast("string")).alias("name"), F.col("idx").alias("refstart"), "refend", "thread")
 
@@ -173,8 +176,8 @@ def load(events: DataFrame, include_late_init: bool = False, null_store_closes:
     """The store tables of an event DataFrame (see ``model.EVENTS``), and ``quarantine``: exits on an empty stack."""
     flat = relevant(flatten(events), include_late_init)
     deep = with_depth(flat.filter(F.col("kind").isin("methodenter", "methodexit", "varstore", "readmodify")), chunk)
-    frames, framed = in_frames(deep)
-    late_objects, refs = None, field_refs(flat, null_store_closes).unionByName(var_refs(framed))
+    frames, framed = in_frames(deep, chunk)
+    late_objects, refs = None, field_refs(flat, null_store_closes, chunk).unionByName(var_refs(framed, chunk))
     if include_late_init:
         late = flat.filter(F.col("kind") == "lateinit")
         late_objects = late.select(F.col("callee").alias("id"), F.regexp_replace("klass", "/", ".").alias("klass"), F.lit("<jvm internals>").alias("sitefile"), F.lit(-1).alias("siteline"), F.lit("late initialisation").alias("thread"), "idx")

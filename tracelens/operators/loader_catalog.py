@@ -29,18 +29,21 @@ STEPS = (
 )
 
 
+#: Chunks of so many events, so that there are several at every size.
+CHUNK = 1000
+
+
 def _framed(flat):
-    return loader.in_frames(loader.with_depth(flat.filter("kind IN ('methodenter', 'methodexit', 'varstore', 'readmodify')")))
+    return loader.in_frames(loader.with_depth(flat.filter("kind IN ('methodenter', 'methodexit', 'varstore', 'readmodify')"), CHUNK), CHUNK)
 
 
 QUERIES = {
-    # chunks of 1,000 events, so that there are several at every size
-    "load_depth": (lambda e: loader.with_depth(e.filter("kind IN ('methodenter', 'methodexit', 'varstore', 'readmodify')"), 1000).select("idx", "thread", "depth", "underflow"), "SELECT idx, thread, depth, underflow FROM deep"),
+    "load_depth": (lambda e: loader.with_depth(e.filter("kind IN ('methodenter', 'methodexit', 'varstore', 'readmodify')"), CHUNK).select("idx", "thread", "depth", "underflow"), "SELECT idx, thread, depth, underflow FROM deep"),
     "load_quarantine": (lambda e: loader.with_depth(e.filter("kind IN ('methodenter', 'methodexit', 'varstore', 'readmodify')")).filter("underflow").select("idx", "thread", "name", "klass"), "SELECT idx, thread, name, klass FROM deep WHERE underflow"),
     "load_calls": (lambda e: loader.raw_calls(_framed(e)[0]), """SELECT COALESCE(b.callee, 4) AS caller, f.callee AS callee, f.name AS name, f.idx AS callstart, f.leaves AS callend, f.sitefile AS callsitefile, f.siteline AS callsiteline, f.thread AS thread
   FROM frames f ASOF LEFT JOIN frames b ON f.thread = b.thread AND f.level - 1 = b.level AND f.idx > b.idx WHERE f.clean"""),
-    "load_field_refs": (loader.field_refs, "SELECT callee AS caller, val AS callee, 'field' AS kind, name, idx AS refstart, LEAD(idx) OVER (PARTITION BY callee, name ORDER BY idx) AS refend, thread FROM raw WHERE kind = 'fieldstore' AND val <> 0"),
-    "load_var_refs": (lambda e: loader.var_refs(_framed(e)[1]), """SELECT caller, val AS callee, 'var' AS kind, 'var_' || var AS name, idx AS refstart, CASE WHEN frame IS NOT NULL THEN COALESCE(later, frame_end) END AS refend, thread
+    "load_field_refs": (lambda e: loader.field_refs(e, chunk=CHUNK), "SELECT callee AS caller, val AS callee, 'field' AS kind, name, idx AS refstart, LEAD(idx) OVER (PARTITION BY callee, name ORDER BY idx) AS refend, thread FROM raw WHERE kind = 'fieldstore' AND val <> 0"),
+    "load_var_refs": (lambda e: loader.var_refs(_framed(e)[1], CHUNK), """SELECT caller, val AS callee, 'var' AS kind, 'var_' || var AS name, idx AS refstart, CASE WHEN frame IS NOT NULL THEN COALESCE(later, frame_end) END AS refend, thread
   FROM (SELECT *, LEAD(idx) OVER (PARTITION BY thread, frame, var ORDER BY idx) AS later FROM around WHERE kind = 'varstore') s WHERE val <> 0"""),
     "load_uses": (lambda e: loader.uses(e, _framed(e)[1]), """SELECT caller, COALESCE(callee, caller) AS callee, COALESCE('var_' || var, name) AS name, callermethod AS method, kind, idx, thread FROM raw WHERE kind IN ('fieldload', 'fieldstore', 'varload', 'varstore')
   UNION ALL SELECT caller, callee, name, COALESCE(frame_name, '<unknown>'), CASE WHEN is_modify THEN 'modify' ELSE 'read' END, idx, thread FROM around WHERE kind = 'readmodify'"""),

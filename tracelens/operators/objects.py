@@ -6,10 +6,10 @@ Bounds are part of the meaning: traced objects are those with id >= 4, negations
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelens.model import JVM, READS, WRITES
+from tracelens.operators.scans import CHUNK, peaks
 
 Tables = dict[str, DataFrame]
 
@@ -51,15 +51,12 @@ def non_stationary(t: Tables) -> DataFrame:
     return per.agg(F.min(F.when(read, F.col("idx"))).alias("r"), F.max(F.when(write, F.col("idx"))).alias("w")).filter("r < w").select("id")
 
 
-def max_aliases(refs: DataFrame) -> DataFrame:
+def max_aliases(refs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """id, most: the largest number of references that were open at once. Opening and closing at the same time net
-    out (RANGE peers), and references that are never closed close after everything else."""
-    moves = refs.filter(F.col("callee") > JVM).select("callee", F.explode(F.array(
+    out, and references that are never closed close after everything else. An object with most of the references is no single task."""
+    moves = refs.filter(F.col("callee") > JVM).select(F.col("callee").alias("id"), F.explode(F.array(
         F.struct(F.col("refstart").alias("time"), F.lit(1).alias("delta")), F.struct(F.col("refend").alias("time"), F.lit(-1).alias("delta")))).alias("m"))
-    # one row per time and object, so that the window below sees peers already netted
-    net = moves.groupBy("callee", F.col("m.time").alias("time")).agg(F.sum("m.delta").alias("delta"))
-    run = F.sum("delta").over(W.partitionBy("callee").orderBy(F.col("time").asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return net.select(F.col("callee").alias("id"), run.alias("open")).groupBy("id").agg(F.max("open").alias("most"))
+    return peaks(moves, "id", F.col("m.time"), F.col("m.delta"), chunk).withColumnRenamed("peak", "most")
 
 
 def unique(t: Tables) -> DataFrame:
