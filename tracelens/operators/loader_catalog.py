@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tracelens import views
-from tracelens.operators import loader
+from tracelens.operators import loader, protocols
 
 #: Flat events as ``loader.flatten`` gives them, made from ``ev``: sign-ups enter a method and errors leave one, whatever is on the stack.
 RAW = """SELECT idx, kind, thread, CASE WHEN kind IN ('methodenter', 'methodexit') THEN CASE WHEN k % 4 = 0 THEN '<init>' ELSE 'run' END WHEN kind IN ('varstore', 'varload') THEN NULL ELSE fname END AS name,
@@ -51,14 +51,31 @@ QUERIES = {
   FROM raw WHERE kind = 'methodenter' AND name = '<init>' GROUP BY callee"""),
 }
 
+#: For protocols: the depth of all events, the two frames around each, constructed objects with their class and constructing frame.
+PROTOCOL_STEPS = (
+    STEPS[0], STEPS[1].replace(" WHERE kind IN ('methodenter', 'methodexit', 'varstore', 'readmodify')", ""), *STEPS[2:5],
+    "entered AS (SELECT thread, depth AS level, idx, klass FROM deep WHERE kind = 'methodenter')",
+    "placed AS (SELECT *, CASE WHEN kind = 'methodenter' THEN depth - 1 ELSE depth END AS level FROM deep WHERE kind IN ('methodenter', 'fieldstore', 'fieldload', 'readmodify'))",
+    """two AS (SELECT p.*, CASE WHEN p.level > 0 THEN f.idx END AS top, CASE WHEN p.level > 0 THEN f.klass END AS top_klass, CASE WHEN p.level > 1 THEN g.idx END AS below
+ FROM placed p ASOF LEFT JOIN entered f ON p.thread = f.thread AND p.level = f.level AND p.idx > f.idx ASOF LEFT JOIN entered g ON p.thread = g.thread AND p.level - 1 = g.level AND p.idx > g.idx)""",
+    "made AS (SELECT callee AS id, MIN(idx) AS born, ARG_MIN(klass, idx) AS klass, ARG_MIN(COALESCE(top, -1), idx) AS creator FROM two WHERE kind = 'methodenter' AND name = '<init>' AND callee > 4 GROUP BY callee)",
+)
+_VERDICT = "SELECT m.id, MIN(e.idx) IS NULL AS ok, MIN(e.idx) AS at FROM made m LEFT JOIN two e ON e.callee = m.id AND e.idx > m.born AND {broken} GROUP BY m.id"
+PROTOCOLS = {
+    "class_private": "(e.kind = 'fieldstore' OR (e.kind = 'readmodify' AND e.is_modify)) AND e.top_klass IS DISTINCT FROM m.klass",
+    "near_creator": "e.kind <> 'methodenter' AND NOT (m.creator = COALESCE(e.top, -1) OR COALESCE(m.creator = e.below, FALSE))",
+}
+
 
 def flat(spark, sf_dir):
     return spark.sql(RAW.replace("FROM ev a JOIN ev b", "FROM {ev} a JOIN {ev} b"), ev=views.tables(spark, sf_dir)["ev"])
 
 
 def queries():
-    return {k: (lambda spark, sf_dir, f=v[0]: f(flat(spark, sf_dir))) for k, v in QUERIES.items()}
+    out = {k: (lambda spark, sf_dir, f=v[0]: f(flat(spark, sf_dir))) for k, v in QUERIES.items()}
+    return out | {f"protocol_{k}": (lambda spark, sf_dir, p=protocols.REGISTERED[k]: protocols.verdicts(flat(spark, sf_dir), p, CHUNK)) for k in PROTOCOLS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: f"WITH ev AS ({views.EV}), {', '.join(STEPS)} {v[1]}" for k, v in QUERIES.items()}
+    out = {k: f"WITH ev AS ({views.EV}), {', '.join(STEPS)} {v[1]}" for k, v in QUERIES.items()}
+    return out | {f"protocol_{k}": f"WITH ev AS ({views.EV}), {', '.join(PROTOCOL_STEPS)} {_VERDICT.format(broken=v)}" for k, v in PROTOCOLS.items()}

@@ -30,3 +30,19 @@ def delete(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Tables that are needed for as long as a ``with`` block runs."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base = spark, work_path(spark, name)
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        return cut(df, f"{self.base}/{name}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.base)
