@@ -118,9 +118,9 @@ def messages(stream) -> Iterator[Message]:
         yield Message(segments)
 
 
-def events(stream) -> Iterator[tuple[int, str, dict]]:
-    """(idx from 1, kind, fields)."""
-    for idx, m in enumerate(messages(stream), 1):
+def events(stream, first: int = 1) -> Iterator[tuple[int, str, dict]]:
+    """(idx, kind, fields), counted from ``first``."""
+    for idx, m in enumerate(messages(stream), first):
         kind, fields = m.event()
         yield idx, kind, fields
 
