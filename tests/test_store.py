@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 
@@ -73,6 +74,7 @@ def test_cache_and_catalogue(spark, loaded):
     loaded.cache.clear(only_statistics=True)
     assert loaded.warm([parse(q) for q in GRID]) == 0
     loaded.cache.clear()
+    loaded.spark.range(1).write.mode("overwrite").parquet(f"{loaded.folder}/../no_store/other")
     row = catalogue(spark, loaded.folder.rpartition("/")[0]).collect()[0]
     assert (row["name"], row["objects"], row["date"], row["comment"]) == ("run", 5, datetime.date.today().isoformat(), "a comment")
     assert loaded.sql("SELECT count(*) AS n FROM uses").first()["n"] > 0
@@ -80,6 +82,54 @@ def test_cache_and_catalogue(spark, loaded):
         loaded.sql("SELECT nothing FROM nowhere")
 
 
+def test_grid_statistics(spark, loaded):
+    """Kept percentages equal those computed query by query, and are what clearing the statistics clears."""
+    queries = [parse(q) for q in (*GRID, "ImmutableObj()", "TinyObj()", "Set(50 101 999)")]
+    rows = loaded.grid(queries)
+    t = loaded.tables()
+    for q in queries:
+        own = loaded.query(q)
+        for statistic, want in (("class", stats.class_percentage(t, own).drop("klass")), ("field", stats.field_aggregate(t, own).drop("name")), ("object", stats.object_percentage(t, own))):
+            got = loaded.percentages(q, statistic)
+            assert sorted(map(tuple, got.drop("name").collect())) == sorted(map(tuple, want.collect())), (str(q), statistic)
+    assert rows.select("query").distinct().count() == len(queries)
+    assert loaded.cache.get("grid", "statistics") is not None
+    loaded.cache.clear(only_statistics=True)
+    assert loaded.cache.get("grid", "statistics") is None and loaded.warm(queries) == 0
+    assert loaded.percentages("MutableObj()", "object").first()["passed"] == 4 and loaded.cache.get("grid", "statistics") is None
+
+
+def test_many_sets_fit_the_bitmap(spark):
+    sets = [spark.range(k, k + 3) for k in range(77)]
+    found = {r["id"]: (r["m0"], r["m1"]) for r in stats.memberships(sets).collect()}
+    for i in range(79):
+        assert [k for k in range(77) if found[i][k // stats.WORD] >> k % stats.WORD & 1] == [k for k in range(77) if k <= i < k + 3]
+
+
+def test_calls_by_time_reads_few_files(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(1, i, "m", s := rng.randrange(1, 100_000), s + int(2 ** rng.uniform(0, 16)), "f", 1, "t") for i in range(3000)]
+    store = Store(spark, str(tmp_path / "s")).write({"calls": spark.createDataFrame(rows, "caller long, callee long, name string, callstart long, callend long, callsitefile string, callsiteline long, thread string")})
+    every = spark.read.parquet(f"{store.folder}/calls_by_time").select("_metadata.file_path").distinct().count()
+    for t in (1, 777, 50_000, 99_999, 10**9):
+        out = store.calls_at(t)
+        assert {r["callee"] for r in out.collect()} == {i for _, i, _, s, e, *_ in rows if s <= t <= e}
+        files = out._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [" in files and "PartitionFilters: []" not in files
+    scan = store.calls_at(50_000)._jdf.queryExecution().sparkPlan().collectLeaves().head()
+    assert 0 < scan.selectedPartitions().totalNumberOfFiles() < every / 5
+
+
+def test_up_to_date_stores_are_left(spark, tmp_path, capsys):
+    from tracelens.sources.trace import write_trace
+
+    write_trace(TRACE, str(tmp_path / "t"))
+    load = lambda *more: (cli.main(["load", "--store", str(tmp_path / "s"), *more, str(tmp_path / "t")], spark), capsys.readouterr().out)[1]
+    assert load() == "" and load() == "up to date\n" and load("--force") == ""
+    write_trace(TRACE[:-1], str(tmp_path / "t"))
+    assert load() == "" and Store(spark, str(tmp_path / "s")).meta()["eventcount"] == str(len(TRACE) - 1)
+
+
 def test_text_forms(spark, loaded):
     lines = [r["line"] for r in listing(frame(spark, TRACE)).orderBy("idx").collect()]
     assert lines[0] == "#1: ==>  (I @ 101) . <init>()V , callsite=C.java:1 , thread=main" and lines[1] == "#2: readmodify - callee=C @ 101 , caller=C @ 101 writes x"

@@ -51,7 +51,7 @@ TEXT: dict[str, tuple] = {
     "obj": ("Obj()", "SELECT id FROM objects WHERE id >= 4"),
     "instance_of": ("InstanceOf(app.Cart)", "SELECT id FROM objects WHERE klass = 'app.Cart'"),
     "allocated_at": ("AllocatedAt(App.java:17)", "SELECT id FROM objects WHERE allocationsitefile = 'App.java' AND allocationsiteline = 17"),
-    "const_set": ("Set(4 16 27 27)", "SELECT CAST(id AS BIGINT) AS id FROM (VALUES (4), (16), (27)) v(id)"),
+    "const_set": ("And(Obj() Set(4 16 27 136 136 5))", "SELECT id FROM objects WHERE id >= 4 AND id IN (4, 16, 27, 136, 5)"),
     "mutable_obj": ("MutableObj()", MUTABLE),
     "immutable_obj": ("ImmutableObj()", _not(MUTABLE)),
     "thread_local_obj": ("ThreadLocalObj()", _not(NTL)),
@@ -122,6 +122,25 @@ TABLE: dict[str, tuple] = {
 }
 
 
+#: The primitive sets of the warm-up grid by their text.
+GRID = {TEXT[k][0]: TEXT[k][1] for k in ("mutable_obj", "immutable_obj", "stationary_obj", "unique_obj", "heap_unique_obj", "tiny_obj", "stack_bound_obj", "age_ordered_obj", "reverse_age_ordered_obj", "thread_local_obj", "obj")}
+
+
+def _grid(t):
+    compiler = Compiler(t)
+    return stats.grid_percentages(t, {text: compiler(text) for text in GRID})
+
+
+_SETS = "sets AS (" + " UNION ALL ".join(f"SELECT '{text}' AS query, id FROM ({sql}) s{k}" for k, (text, sql) in enumerate(GRID.items())) + ")"
+_GRID_SQL = f"""SELECT statistic, query, name, total, passed, {_perc('passed', 'total')} AS perc FROM (
+  SELECT 'object' AS statistic, query, '' AS name, (SELECT COUNT(*) FROM objects WHERE id > 4) AS total, COUNT(*) AS passed FROM sets GROUP BY query
+  UNION ALL SELECT 'class', q.query, klass, COUNT(*), COUNT(s.id) FROM (SELECT DISTINCT query FROM sets) q CROSS JOIN objects o LEFT JOIN sets s ON s.query = q.query AND s.id = o.id WHERE o.id > 4 GROUP BY 1, 2, 3 HAVING COUNT(*) >= 10
+  UNION ALL SELECT 'field', q.query, f.name, COUNT(*), COUNT(s.id) FROM (SELECT DISTINCT query FROM sets) q CROSS JOIN (
+   SELECT DISTINCT klass || '::' || name AS name, callee FROM refs JOIN objects ON id = caller WHERE kind = 'field' AND klass NOT LIKE '[%' AND callee IN (SELECT id FROM objects WHERE id >= 4)) f
+   LEFT JOIN sets s ON s.query = q.query AND s.id = f.callee GROUP BY 1, 2, 3)"""
+TABLE["grid_percentages"] = (_on(_grid), _GRID_SQL, _SETS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from tracelens.operators import automata_catalog, loader_catalog
 

@@ -26,12 +26,17 @@ def _flagged(q: DataFrame) -> DataFrame:
     return q.select(F.col("id").alias("_id")).distinct().withColumn("_in", F.lit(True))
 
 
-def field_aggregate(t: Tables, q: DataFrame, min_instances: int | None = None) -> DataFrame:
-    """name (class::field of non-array holders), total, passed, perc: distinct referents, and those in ``q``."""
+def field_pairs(t: Tables) -> DataFrame:
+    """Distinct (name, callee): class::field of holders that are no arrays, and a traced object that the field held."""
     holders = t["objects"].filter(~F.col("klass").startswith("[")).select(F.col("id").alias("caller"), "klass")
     held = objects.fields(t).select("caller", "callee", "name").join(holders, "caller")
     pairs = held.select(F.concat(F.coalesce("klass", F.lit("")), F.lit("::"), F.coalesce("name", F.lit(""))).alias("name"), "callee").distinct()
-    pairs = pairs.join(objects.obj(t).withColumnRenamed("id", "callee"), "callee", "left_semi")
+    return pairs.join(objects.obj(t).withColumnRenamed("id", "callee"), "callee", "left_semi")
+
+
+def field_aggregate(t: Tables, q: DataFrame, min_instances: int | None = None) -> DataFrame:
+    """name (class::field of non-array holders), total, passed, perc: distinct referents, and those in ``q``."""
+    pairs = field_pairs(t)
     pairs = pairs.join(_flagged(q), F.col("callee") == F.col("_id"), "left")
     out = pairs.groupBy("name").agg(F.count("callee").alias("total"), F.count("_in").alias("passed"))
     out = out if min_instances is None else out.filter(F.col("total") >= min_instances)
@@ -45,6 +50,43 @@ def class_percentage(t: Tables, q: DataFrame, min_instances: int = 10) -> DataFr
     return out.withColumn("perc", percentage(F.col("passed"), F.col("total")))
 
 
+#: Sets in one word of a membership bitmap.
+WORD = 60
+
+
+def memberships(sets: list[DataFrame]) -> DataFrame:
+    """id, m0, m1, ...: bit k of the words says whether the id is in ``sets[k]``. One shuffle of ids, with the bits of an id joined before it."""
+    words = range(-(-len(sets) // WORD))
+    rows = None
+    for k, q in enumerate(sets):
+        own = q.select("id", *[F.lit(1 << k % WORD if w == k // WORD else 0).cast("long").alias(f"m{w}") for w in words])
+        rows = own if rows is None else rows.union(own)
+    return rows.groupBy("id").agg(*[F.bit_or(f"m{w}").alias(f"m{w}") for w in words])
+
+
+def grid_percentages(t: Tables, sets: dict[str, DataFrame], min_instances: int = 10) -> DataFrame:
+    """statistic (object, class, field), query, name, total, passed, perc: what ``object_percentage``, ``class_percentage`` and
+    ``field_aggregate`` say of each of the sets, from one aggregation a statistic whatever the number of sets."""
+    from tracelens.plans.cutting import Scratch, cut, work_path
+
+    spark, names = t["objects"].sparkSession, list(sets)
+    counts = [F.count_if(F.col(f"m{k // WORD}").bitwiseAND(F.lit(1 << k % WORD)) != 0).alias(f"_p{k}") for k in range(len(names))]
+    passed = F.explode(F.array(*[F.struct(F.lit(q).alias("query"), F.col(f"_p{k}").alias("passed")) for k, q in enumerate(names)])).alias("q")
+
+    def flat(df: DataFrame, statistic: str, name) -> DataFrame:
+        rows = df.select(name.alias("name"), "total", passed).select(F.lit(statistic).alias("statistic"), "q.query", "name", "total", "q.passed")
+        return rows.withColumn("perc", percentage(F.col("passed"), F.col("total")))
+
+    with Scratch(spark, "grid") as scratch:
+        members = scratch.cut(memberships(list(sets.values())), "members")
+        o = t["objects"].filter("id > 4").select("id", "klass")
+        all_ = members.agg(*counts).crossJoin(o.agg(F.count("id").alias("total")))  # one row each
+        classes = o.join(members, "id", "left").groupBy("klass").agg(F.count("id").alias("total"), *counts).filter(F.col("total") >= min_instances)
+        fields = field_pairs(t).join(members.withColumnRenamed("id", "callee"), "callee", "left").groupBy("name").agg(F.count("callee").alias("total"), *counts)
+        out = flat(all_, "object", F.lit("")).union(flat(classes, "class", F.col("klass"))).union(flat(fields, "field", F.col("name")))
+        return cut(out, work_path(spark, "percentages"))
+
+
 #: Kinds of the columns of ``with_meta``, for readers that plot them.
 META_KINDS = {
     "allocationsite": "categorical", "klass": "categorical", "thread": "categorical", "firstusage": "numerical", "lastusage": "numerical",
