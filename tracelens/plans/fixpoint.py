@@ -2,7 +2,8 @@
 
 Each round joins only the newly found ids to the edges that still lead to ids not seen, and writes what it finds. Every few
 rounds the edges to seen ids are dropped, so a round compares with the ids found since then and not with all of them. A closure
-that is still running then has long paths; it gets shortcuts, so that the number of rounds follows the logarithm of a path and not its length.
+that is still running then has long paths: first ids that refer to each other, as in doubly linked lists, become one; then paths get
+shortcuts, so that the number of rounds follows the logarithm of a path and not its length. What was written on the way is deleted.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tracelens.plans.cutting import cut, work_path
+from tracelens.plans.components import components
+from tracelens.plans.cutting import cut, delete, work_path
 
 #: Rounds between two prunings of the edges.
 PRUNE = 8
@@ -49,22 +51,55 @@ def shortcuts(edges: DataFrame, doublings: int, path: str) -> DataFrame:
     return out
 
 
+def contracted(edges: DataFrame, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """(edges between contracted ids, (id, root) of the ids that were merged into others), or None if nothing can be. Ids that refer to each
+    other reach the same ids, and so do ids that are connected by such pairs, in whatever order they lie."""
+    mutual = edges.join(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi").filter("src < dst")
+    if not counted(mutual, f"{path}/mutual"):
+        return None
+    roots = components(edges.sparkSession.read.schema("src long, dst long").parquet(f"{path}/mutual"), path)
+    for end in ("src", "dst"):
+        edges = edges.join(roots.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    return cut(edges.filter("src != dst").distinct().select("src", "dst"), f"{path}/contracted"), roots
+
+
 def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """ids reachable from ``seeds`` (id) along ``edges`` (src, dst), seeds included. Nulls lead nowhere; an empty table of either
     kind gives the seeds."""
-    spark, base = seeds.sparkSession, work_path(seeds.sparkSession, "reach")
+    return closed(edges.select("src", "dst"), seeds.select(F.col("id").cast("long").alias("id")), work_path(seeds.sparkSession, "reach"), max_rounds, True)
+
+
+def closed(edges: DataFrame, seeds: DataFrame, base: str, max_rounds: int, contract: bool) -> DataFrame:
+    """``reach`` within the folder ``base``, of which the rounds stay."""
+    spark = seeds.sparkSession
     files = lambda *rounds: spark.read.schema("id long").parquet(*[f"{base}/round={r}" for r in rounds])
-    found = counted(seeds.select(F.col("id").cast("long")).distinct(), f"{base}/round=0")
-    left, since = edges.select("src", "dst"), 0
+    found = counted(seeds.distinct(), f"{base}/round=0")
+    left, since, used = edges, 0, []
     for n in range(1, max_rounds + 1):
         if not found:
+            delete(spark, *used)
             return files(*range(n))
         if n % PRUNE == 0:
             left = cut(left.join(files(*range(since, n)), F.col("dst") == F.col("id"), "left_anti"), f"{base}/left={n}")
-            since, age = n, n // PRUNE
+            delete(spark, *used)
+            since, age, used = n, n // PRUNE, [f"{base}/left={n}"]
+            if age >= PATIENCE and contract:
+                contract = False
+                if small := contracted(left, f"{base}/merged"):
+                    # from here on with merged ids: what was found last leads on, all else was followed before
+                    merged, roots = small
+                    last = files(n - 1).join(roots, "id", "left").select(F.coalesce("root", "id").alias("id"))
+                    more = closed(merged, last, f"{base}/of-merged", max_rounds, False)
+                    members = roots.join(more.withColumnRenamed("id", "root"), "root", "left_semi").select("id")
+                    new = more.union(members).join(files(*range(n)), "id", "left_anti")
+                    counted(new.distinct(), f"{base}/round={n}")
+                    delete(spark, *used, f"{base}/merged", f"{base}/of-merged")
+                    return files(*range(n + 1))
             if age >= PATIENCE and age % PATIENCE == 0:
                 left = shortcuts(left, DOUBLINGS * age // PATIENCE, f"{base}/jumps={n}")
                 left = cut(left.distinct(), f"{base}/short={n}")
+                delete(spark, f"{base}/jumps={n}")
+                used.append(f"{base}/short={n}")
         new = left.join(files(n - 1), F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct()
         if since < n:
             new = new.join(files(*range(since, n)), "id", "left_anti")
