@@ -91,11 +91,15 @@ def _mutable_of(f: Callable):
 
 
 _CALLS = "caller, callee, name, callstart, callend, callsitefile, callsiteline, thread"
+_APROPOS = """SELECT 'use' AS event, idx AS start, CAST(NULL AS BIGINT) AS "end", caller, callee, name, kind || ' in ' || method AS detail, thread FROM uses WHERE 136 IN (caller, callee)
+  UNION ALL SELECT 'call', callstart, callend, caller, callee, name, callsitefile || ':' || callsiteline, thread FROM calls WHERE 136 IN (caller, callee)
+  UNION ALL SELECT 'ref', refstart, refend, caller, callee, name, kind, thread FROM refs WHERE 136 IN (caller, callee)"""
 #: name -> (function of the tables, oracle body)
 TABLE: dict[str, tuple] = {
     "non_thread_local_obj": (_on(objects.non_thread_local), NTL),
     "non_stationary_obj": (_on(objects.non_stationary), NON_STATIONARY),
-    "age_of_neighbours": (_on(objects.age_of_neighbours), AGE),
+    "age_of_neighbours": (_on(objects.age_of_neighbours), """SELECT caller AS id, o.firstusage AS firstusage, c.firstusage AS calleefirstusage FROM (SELECT caller, callee FROM refs WHERE kind = 'field') r,
+  (SELECT id, firstusage FROM objects) o, (SELECT id, firstusage FROM objects) c WHERE o.id = caller AND c.id = callee"""),
     "strictly_reverse_age_ordered_obj": (_on(objects.strictly_reverse_age_ordered), f"SELECT id FROM ({AGE}) a GROUP BY id, firstusage HAVING MIN(calleefirstusage) > firstusage"),
     "with_meta_information": (_mutable_of(stats.with_meta), f"""SELECT id, klass, allocationsitefile || ':' || allocationsiteline AS allocationsite, firstusage, lastusage, thread,
   (SELECT COUNT(*) FROM calls WHERE callee = id) AS numcalls, (SELECT COUNT(*) FROM uses WHERE callee = id AND kind = 'fieldload') AS numfieldreads,
@@ -110,9 +114,8 @@ TABLE: dict[str, tuple] = {
   FROM refs JOIN objects ON id = caller WHERE kind = 'field' AND klass NOT LIKE '[%' AND callee IN (SELECT id FROM objects WHERE id >= 4) GROUP BY 1) WHERE total >= 10"""),
     "class_percentage": (_mutable_of(stats.class_percentage), f"""SELECT klass, total, passed, {_perc('passed', 'total')} AS perc FROM (
   SELECT klass, COUNT(*) AS total, COUNT(CASE WHEN id IN ({MUTABLE}) THEN 1 END) AS passed FROM objects WHERE id > 4 GROUP BY klass) WHERE total >= 10"""),
-    "apropos": (_on(lambda t: stats.apropos(t, 136)), """SELECT 'use' AS event, idx AS start, CAST(NULL AS BIGINT) AS "end", caller, callee, name, kind || ' in ' || method AS detail, thread FROM uses WHERE 136 IN (caller, callee)
-  UNION ALL SELECT 'call', callstart, callend, caller, callee, name, callsitefile || ':' || callsiteline, thread FROM calls WHERE 136 IN (caller, callee)
-  UNION ALL SELECT 'ref', refstart, refend, caller, callee, name, kind, thread FROM refs WHERE 136 IN (caller, callee)"""),
+    "apropos": (_on(lambda t: stats.apropos(t, 136)), _APROPOS),
+    "apropos_json": (_on(lambda t: stats.apropos_json(t, 136)), f"SELECT start, CAST(to_json(a) AS VARCHAR) AS json FROM ({_APROPOS}) a"),
     "ctor_collapse": (_on(lambda t: loader.collapse_constructors(t["calls"]).filter(F.col("name") == "<init>")), f"""SELECT {_CALLS} FROM (SELECT caller, callee, name, MIN(callstart) OVER (PARTITION BY callee) AS callstart, callend, callsitefile, callsiteline, thread,
   ROW_NUMBER() OVER (PARTITION BY callee ORDER BY callend DESC, caller DESC, callsitefile DESC, callsiteline DESC, thread DESC) AS n FROM calls WHERE name = '<init>') WHERE n = 1"""),
     "edge_ends": (_on(lambda t: loader.field_refs(t["refs"].filter("kind = 'field'").select(F.lit("fieldstore").alias("kind"), F.col("caller").alias("callee"), F.col("callee").alias("val"), "name", F.col("refstart").alias("idx"), "thread"))),

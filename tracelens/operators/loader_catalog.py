@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tracelens import views
+from tracelens.model import EVENT_FIELDS
 from tracelens.operators import loader, protocols
 
 #: Flat events as ``loader.flatten`` gives them, made from ``ev``: sign-ups enter a method and errors leave one, whatever is on the stack.
@@ -66,6 +70,58 @@ PROTOCOLS = {
     "near_creator": "e.kind <> 'methodenter' AND NOT (m.creator = COALESCE(e.top, -1) OR COALESCE(m.creator = e.below, FALSE))",
 }
 
+#: The same events with late initialisations, threads of the runtime and fields without a name among them.
+MIXED = """SELECT idx, CASE WHEN kind = 'fieldstore' AND idx % 7 = 0 THEN 'lateinit' ELSE kind END AS kind, CASE WHEN idx % 41 = 0 THEN 'Finalizer' ELSE thread END AS thread,
+  CASE WHEN kind = 'fieldload' AND idx % 53 = 0 THEN '' ELSE name END AS name, klass, callee, caller, callermethod, val, var, is_modify, sitefile, siteline FROM raw0"""
+LOAD_STEPS = (
+    f"raw0 AS ({RAW})", f"mixed AS ({MIXED})", "raw AS (SELECT * FROM mixed WHERE thread <> 'Finalizer' AND kind <> 'lateinit')", "late AS (SELECT * FROM mixed WHERE kind = 'lateinit')", *STEPS[1:],
+    "all_uses AS ({load_uses})", "all_calls AS ({load_calls})",
+    "all_refs AS ({load_field_refs} UNION ALL {load_var_refs} UNION ALL SELECT callee, val, 'field', name, 1, NULL, 'late initialisation' FROM late WHERE val <> 0)",
+    """born AS (SELECT callee AS id, REPLACE(klass, '/', '.') AS klass, sitefile, siteline, thread, idx FROM raw WHERE kind = 'methodenter' AND name = '<init>'
+  UNION ALL SELECT callee, REPLACE(klass, '/', '.'), '<jvm internals>', -1, 'late initialisation', idx FROM late)""",
+    """inits AS (SELECT *, MIN(callstart) OVER (PARTITION BY callee) AS first, ROW_NUMBER() OVER (PARTITION BY callee ORDER BY callend DESC) AS n FROM all_calls WHERE name = '<init>')""",
+)
+LOAD_SQL = """SELECT 'uses' AS place, idx AS start, CAST(NULL AS BIGINT) AS "end", caller, callee, name, kind || ' in ' || method AS detail, thread FROM all_uses
+ UNION ALL SELECT 'refs', refstart, refend, caller, callee, name, kind, thread FROM all_refs
+ UNION ALL SELECT 'calls', callstart, callend, caller, callee, name, callsitefile || ':' || callsiteline, thread FROM all_calls WHERE name <> '<init>'
+ UNION ALL SELECT 'calls', first, callend, caller, callee, name, callsitefile || ':' || callsiteline, thread FROM inits WHERE n = 1
+ UNION ALL SELECT 'objects', u.a, u.b, NULL, o.id, o.klass, o.site, o.thread FROM (SELECT id, ARG_MAX(klass, idx) AS klass, ARG_MIN(sitefile, idx) || ':' || ARG_MIN(siteline, idx) AS site, ARG_MIN(thread, idx) AS thread FROM born GROUP BY id) o
+  LEFT JOIN (SELECT callee, MIN(idx) AS a, MAX(idx) AS b FROM all_uses GROUP BY callee) u ON u.callee = o.id
+ UNION ALL SELECT 'quarantine', idx, NULL, NULL, NULL, name, klass, thread FROM deep WHERE underflow
+ UNION ALL SELECT 'rejected uses', idx, NULL, caller, callee, name, 'empty name', thread FROM all_uses WHERE name = ''"""
+
+
+def nested(flat: DataFrame) -> DataFrame:
+    """Flat events as a trace has them: one filled struct a row."""
+    of = {"calleeclass": "klass", "cname": "klass", "holderclass": "klass", "calleetag": "callee", "holdertag": "callee", "newval": "val", "fname": "name", "callertag": "caller", "threadName": "thread",
+        "callsitefile": "sitefile", "callsiteline": "siteline", "isModify": "is_modify"}
+    one_field = F.array(F.struct(F.col("name").alias("name"), F.col("val").alias("val")))
+
+    def struct(kind: str):
+        fields = [one_field if f.name == "fields" else F.col(of.get(f.name, f.name)) if of.get(f.name, f.name) in flat.columns else F.lit(None) for f in EVENT_FIELDS[kind].fields]
+        return F.when(F.col("kind") == kind, F.struct(*[c.cast(f.dataType).alias(f.name) for c, f in zip(fields, EVENT_FIELDS[kind].fields)])).alias(kind)
+
+    return flat.select("idx", "kind", *[struct(k) for k in EVENT_FIELDS])
+
+
+def loaded(spark, sf_dir):
+    """All tables that loading a trace gives, one under the other, with its quarantine and rejected rows."""
+    t = loader.load(nested(spark.sql(MIXED.replace("FROM raw0", "FROM {raw0}"), raw0=flat(spark, sf_dir))), include_late_init=True, chunk=CHUNK)
+    none, site = F.lit(None).cast("long"), lambda a, b: F.concat(F.col(a), F.lit(":"), F.col(b).cast("string"))
+    row = lambda df, place, start, end, caller, callee, name, detail, thread="thread": df.select(
+        F.lit(place).alias("place"), *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in zip(("start", "end", "caller", "callee", "name", "detail", "thread"), (start, end, caller, callee, name, detail, thread))])
+    broken, json = loader.broken_rows(t), lambda f: F.get_json_object("row", f"$.{f}")
+    parts = [
+        row(t["uses"], "uses", "idx", none, "caller", "callee", "name", F.concat("kind", F.lit(" in "), "method")), row(t["refs"], "refs", "refstart", "refend", "caller", "callee", "name", "kind"),
+        row(t["calls"], "calls", "callstart", "callend", "caller", "callee", "name", site("callsitefile", "callsiteline")),
+        row(t["objects"], "objects", "firstusage", "lastusage", none, "id", "klass", site("allocationsitefile", "allocationsiteline")), row(t["quarantine"], "quarantine", "idx", none, none, none, "name", "klass"),
+        row(broken.withColumn("thread", json("thread")), "rejected uses", json("idx").cast("long"), none, json("caller").cast("long"), json("callee").cast("long"), json("name"), "why"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
 
 def flat(spark, sf_dir):
     return spark.sql(RAW.replace("FROM ev a JOIN ev b", "FROM {ev} a JOIN {ev} b"), ev=views.tables(spark, sf_dir)["ev"])
@@ -73,9 +129,11 @@ def flat(spark, sf_dir):
 
 def queries():
     out = {k: (lambda spark, sf_dir, f=v[0]: f(flat(spark, sf_dir))) for k, v in QUERIES.items()}
-    return out | {f"protocol_{k}": (lambda spark, sf_dir, p=protocols.REGISTERED[k]: protocols.verdicts(flat(spark, sf_dir), p, CHUNK)) for k in PROTOCOLS}
+    return out | {"load_tables": loaded} | {f"protocol_{k}": (lambda spark, sf_dir, p=protocols.REGISTERED[k]: protocols.verdicts(flat(spark, sf_dir), p, CHUNK)) for k in PROTOCOLS}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {k: f"WITH ev AS ({views.EV}), {', '.join(STEPS)} {v[1]}" for k, v in QUERIES.items()}
-    return out | {f"protocol_{k}": f"WITH ev AS ({views.EV}), {', '.join(PROTOCOL_STEPS)} {_VERDICT.format(broken=v)}" for k, v in PROTOCOLS.items()}
+    bodies = {k: v[1] for k, v in QUERIES.items()}
+    steps = ", ".join(x.format(**bodies) if "{load_" in x else x for x in LOAD_STEPS)
+    return out | {"load_tables": f"WITH ev AS ({views.EV}), {steps} {LOAD_SQL}"} | {f"protocol_{k}": f"WITH ev AS ({views.EV}), {', '.join(PROTOCOL_STEPS)} {_VERDICT.format(broken=v)}" for k, v in PROTOCOLS.items()}

@@ -122,8 +122,9 @@ def apropos(t: Tables, id: int) -> DataFrame:
 
 
 def apropos_json(t: Tables, id: int) -> DataFrame:
+    """start, json: the events of ``apropos`` as JSON objects; what isn't known is null in them."""
     events = apropos(t, id)
-    return events.select("start", F.to_json(F.struct(*events.columns)).alias("json"))
+    return events.select("start", F.to_json(F.struct(*events.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def source_code(t: Tables, klass: str) -> DataFrame:
