@@ -4,7 +4,7 @@ Every document becomes token ids and an end id; only longer ones are cut, so tha
 full. Full pieces are sequences of their own. What is left is a histogram of lengths below the capacity, at most
 ``capacity - 1`` counts however large the corpus is. On it the driver plans: lengths above ``SMALL`` are sorted and
 put in groups of nearly equal counts, each rounded up to the largest of its group; configurations of the
-few rounded sizes are filled (exhaustive best completion, repeated while it can be); the rounded
+few rounded sizes are filled (the best completion that a search of up to 20,000 steps finds, repeated while it can be); the rounded
 items become actual lengths again, largest first; lengths that come out with slack are then filled best-fit with the small ones.
 The plan says how many sequences have which lengths. Documents are substituted by their rank among those of equal length,
 which is a prefix sum over counts, so no task sees more than its share of the rows.

@@ -20,6 +20,8 @@ from tracelens.llm.common import blank, table
 
 #: The bound of the training sample, in documents.
 MAX_TRAINING_DOCS = 2000
+#: A doc_id may stand in several rows; training reads up to this many rows for each of ``MAX_TRAINING_DOCS``, whole, in an order of digests.
+ROWS_PER_DOC = 4
 #: Lines, padded, of the training documents that are worked on at once; it bounds memory, not what is learned from.
 BLOCK_LINES = 100_000
 MIN_CONTENT_SHARE = 0.5
@@ -253,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS)
     sample = sample.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "quality").limit(max_docs)
     # at most max_docs rows of two numbers, so the texts stay where they are
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("quality", F.md5(F.col("doc_id").cast("string")).alias("key"), F.md5(blank("text")).alias("digest"), blank("text").alias("text"))
-    rows = joined.mapInArrow(_features, "quality int, key string, digest string, rows array<array<int>>").orderBy("key", "digest", "quality").limit(4 * max_docs).collect()
+    rows = joined.mapInArrow(_features, "quality int, key string, digest string, rows array<array<int>>").orderBy("key", "digest", "quality").limit(ROWS_PER_DOC * max_docs).collect()
     rows = sorted((r["rows"], r["quality"]) for r in rows)
     return Chain().fit(rows)
 

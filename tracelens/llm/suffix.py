@@ -12,7 +12,7 @@ have equal ones, and a slice holds the strings of its share of minimizers, as ru
    levels of nearly equal size are merged, so there are logarithmically many. Runs that are equal as a whole are looked up as a whole.
 5. The covered ranges go back to the documents.
 
-A slice holds a hash share of the corpus; with more input there are more slices, not larger ones. Of the
+A slice holds a hash share of the corpus; the number of slices follows ``spark.sql.shuffle.partitions``, which grows with the input. Of the
 runs of one document only about two in a hundred bytes' worth start with the same minimizer, so a string that a third of all
 documents share is a small part of one slice.
 """
