@@ -146,11 +146,13 @@ TABLE["grid_percentages"] = (_on(_grid), _GRID_SQL, _SETS)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from tracelens.operators import automata_catalog, loader_catalog
+    from tracelens.sources import registered
 
-    return {**{k: _text_query(v[0]) for k, v in TEXT.items()}, **{k: v[0] for k, v in TABLE.items()}, **automata_catalog.queries(), **loader_catalog.queries()}
+    return {**{k: _text_query(v[0]) for k, v in TEXT.items()}, **{k: v[0] for k, v in TABLE.items()}, **automata_catalog.queries(), **loader_catalog.queries(), **registered.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
     from tracelens.operators import automata_catalog, loader_catalog
+    from tracelens.sources import registered
 
-    return {**{k: views.oracle(*v[1:]) for k, v in TEXT.items()}, **{k: views.oracle(*v[1:]) for k, v in TABLE.items() if len(v) > 1}, **automata_catalog.oracle_sql(), **loader_catalog.oracle_sql()}
+    return {**{k: views.oracle(*v[1:]) for k, v in TEXT.items()}, **{k: views.oracle(*v[1:]) for k, v in TABLE.items() if len(v) > 1}, **automata_catalog.oracle_sql(), **loader_catalog.oracle_sql(), **registered.oracle_sql()}

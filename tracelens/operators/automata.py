@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelens.functions.text import bar, listing
 from tracelens.model import arrow_schema
 from tracelens.operators import loader
 from tracelens.operators.scans import CHUNK, peaks, running
@@ -29,6 +30,11 @@ def ignore_background(flat: DataFrame) -> DataFrame:
     return flat.filter(~(F.col("thread").contains("JVM_Thread<") | F.col("thread").isin(*BACKGROUND)))
 
 
+def traced(events: DataFrame) -> DataFrame:
+    """idx, line: the events of a trace as text, without the runtime's background threads."""
+    return listing(events.filter(~(loader.thread_of().contains("JVM_Thread<") | loader.thread_of().isin(*BACKGROUND))))
+
+
 def guarded(flat: DataFrame, predicate: Column, inner: Callable[[DataFrame], DataFrame]) -> DataFrame:
     return inner(flat.filter(predicate))
 
@@ -138,6 +144,11 @@ def count_kinds(flat: DataFrame) -> DataFrame:
     return per.unionByName(flat.agg(F.lit("total").alias("kind"), F.count("*").alias("n")))
 
 
+def kind_bars(flat: DataFrame) -> DataFrame:
+    """kind, n and a bar of the number against the next power of ten."""
+    return count_kinds(flat).withColumn("bar", bar(F.col("n")))
+
+
 def log_var_refs(flat: DataFrame) -> DataFrame:
     """id, var (method::slot), vals: what each variable held."""
     v = flat.filter("kind = 'varstore'")

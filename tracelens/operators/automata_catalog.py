@@ -71,6 +71,10 @@ def _observed(f):
 QUERIES = {
     "count_kinds": (A.count_kinds, """SELECT CASE WHEN kind = 'readmodify' THEN CASE WHEN is_modify THEN 'modify' ELSE 'read' END ELSE kind END AS kind, COUNT(*) AS n FROM flat GROUP BY 1
   UNION ALL SELECT 'total', COUNT(*) FROM flat"""),
+    "kind_bars": (A.kind_bars, """SELECT kind, n, REPEAT('#', CAST(FLOOR(n / POW(10.0, CEIL(LOG10(CAST(n AS DOUBLE)))) * 70) AS INT)) AS bar FROM (SELECT CASE WHEN kind = 'readmodify' THEN CASE WHEN is_modify THEN 'modify' ELSE 'read' END ELSE kind END AS kind, COUNT(*) AS n FROM flat GROUP BY 1
+  UNION ALL SELECT 'total', COUNT(*) FROM flat)"""),
+    "guarded_types": (lambda f: A.guarded(f, F.col("thread") != "worker-0", A.log_types), "SELECT callee AS id, ARG_MIN(klass, idx) AS klass FROM flat WHERE kind = 'methodenter' AND thread <> 'worker-0' GROUP BY callee"),
+    "succeed": (lambda f: A.succeed(f).select("idx", "accepting"), "SELECT idx, TRUE AS accepting FROM flat"),
     "log_var_refs": (lambda f: _as_text(A.log_var_refs(f), "vals"), "SELECT caller AS id, callermethod || '::' || var AS var, ARRAY_TO_STRING(LIST_SORT(LIST(DISTINCT val)), ',') AS vals FROM flat WHERE kind = 'varstore' GROUP BY 1, 2"),
     "log_field_refs": (lambda f: _as_text(A.log_field_refs(f), "vals"), """SELECT id, field, ARRAY_TO_STRING(LIST_SORT(LIST(DISTINCT val)), ',') AS vals FROM (SELECT callee AS id, name AS field, val FROM flat WHERE kind = 'fieldstore'
   UNION ALL SELECT below, '<ALLOCATED_OBJS>', callee FROM (SELECT callee, name, LAG(callee) OVER (PARTITION BY thread ORDER BY idx) AS below  -- no frame of the view ends

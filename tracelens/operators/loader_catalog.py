@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelens import views
+from tracelens.functions.text import listing
 from tracelens.model import EVENT_FIELDS
-from tracelens.operators import loader, protocols
+from tracelens.operators import automata, loader, protocols
 
 #: Flat events as ``loader.flatten`` gives them, made from ``ev``: sign-ups enter a method and errors leave one, whatever is on the stack.
 RAW = """SELECT idx, kind, thread, CASE WHEN kind IN ('methodenter', 'methodexit') THEN CASE WHEN k % 4 = 0 THEN '<init>' ELSE 'run' END WHEN kind IN ('varstore', 'varload') THEN NULL ELSE fname END AS name,
@@ -51,6 +52,9 @@ QUERIES = {
   FROM (SELECT *, LEAD(idx) OVER (PARTITION BY thread, frame, var ORDER BY idx) AS later FROM around WHERE kind = 'varstore') s WHERE val <> 0"""),
     "load_uses": (lambda e: loader.uses(e, _framed(e)[1]), """SELECT caller, COALESCE(callee, caller) AS callee, COALESCE('var_' || var, name) AS name, callermethod AS method, kind, idx, thread FROM raw WHERE kind IN ('fieldload', 'fieldstore', 'varload', 'varstore')
   UNION ALL SELECT caller, callee, name, COALESCE(frame_name, '<unknown>'), CASE WHEN is_modify THEN 'modify' ELSE 'read' END, idx, thread FROM around WHERE kind = 'readmodify'"""),
+    "load_frames": (lambda e: _framed(e)[0].select("idx", "thread", F.col("depth").alias("level"), F.col("frame.idx").alias("below"), "exit"), """SELECT f.idx AS idx, f.thread AS thread, f.level AS level, CASE WHEN f.level > 1 THEN b.idx END AS below, f.leaves AS exit
+  FROM frames f ASOF LEFT JOIN frames b ON f.thread = b.thread AND f.level - 1 = b.level AND f.idx > b.idx"""),
+    "check_stack": (lambda e: automata.check_stack(_framed(e)[0]), "SELECT leaves AS idx, thread, name, next_name AS exit_name FROM frames WHERE leaves IS NOT NULL AND next_name <> name"),
     "load_objects": (loader.objects, """SELECT callee AS id, REPLACE(ARG_MAX(klass, idx), '/', '.') AS klass, ARG_MIN(sitefile, idx) AS allocationsitefile, CAST(ARG_MIN(siteline, idx) AS INT) AS allocationsiteline, ARG_MIN(thread, idx) AS thread
   FROM raw WHERE kind = 'methodenter' AND name = '<init>' GROUP BY callee"""),
 }
@@ -90,6 +94,24 @@ LOAD_SQL = """SELECT 'uses' AS place, idx AS start, CAST(NULL AS BIGINT) AS "end
  UNION ALL SELECT 'quarantine', idx, NULL, NULL, NULL, name, klass, thread FROM deep WHERE underflow
  UNION ALL SELECT 'rejected uses', idx, NULL, caller, callee, name, 'empty name', thread FROM all_uses WHERE name = ''"""
 
+#: What a line of text says of an event, and queries over the trace as it comes, before any thread is left out.
+_TEXT = """CONCAT('#', idx, ': ', CASE kind
+  WHEN 'methodenter' THEN CONCAT('==>  (', klass, ' @ ', callee, ') . ', name, ' , callsite=', sitefile, ':', siteline, ' , thread=', thread) WHEN 'methodexit' THEN CONCAT('<== (??? @ ', klass, ') . ', name, '(???), thread=', thread)
+  WHEN 'fieldstore' THEN CONCAT('fieldStore - caller= :: ', callermethod, ' @ ', caller, ' , holder=', klass, ' @ ', callee, ' , field= ', name, ' , value= was  , is ', val, ' , thread=', thread)
+  WHEN 'fieldload' THEN CONCAT('fieldLoad - caller= :: ', callermethod, ' @ ', caller, ' , holder=', klass, ' @ ', callee, ' , field= ', name, ' , thread=', thread)
+  WHEN 'varstore' THEN CONCAT('varstore - caller= :: ', callermethod, ' @ ', caller, ' var ', var, ' , value was  , now is ', val, ' , thread=', thread) WHEN 'varload' THEN CONCAT('varload - caller= @ ', caller, ' , var ', var, ' , val=', val, ' , thread=', thread)
+  WHEN 'readmodify' THEN CONCAT('readmodify - callee=', klass, ' @ ', callee, ' , caller= @ ', caller, CASE WHEN is_modify THEN ' writes ' ELSE ' reads ' END, name)
+  WHEN 'lateinit' THEN CONCAT('lateInitialisation - callee=', klass, ' @ ', callee, ' [ ', name, ' = ', val, ' ]') END)"""
+TRACE_QUERIES = {
+    "event_lines": (listing, f"SELECT idx, {_TEXT} AS line FROM mixed"),
+    "traced_lines": (automata.traced, f"SELECT idx, {_TEXT} AS line FROM mixed WHERE kind = 'lateinit' OR (thread NOT LIKE '%JVM_Thread<%' AND thread <> 'DestroyJavaVM')"),
+    "load_relevant": (lambda e: loader.relevant(loader.flatten(e)).select("idx", "kind", "thread"), "SELECT idx, kind, thread FROM mixed WHERE thread <> 'Finalizer' AND kind <> 'lateinit'"),
+}
+
+
+def trace(spark, sf_dir):
+    return nested(spark.sql(MIXED.replace("FROM raw0", "FROM {raw0}"), raw0=flat(spark, sf_dir)))
+
 
 def nested(flat: DataFrame) -> DataFrame:
     """Flat events as a trace has them: one filled struct a row."""
@@ -106,7 +128,7 @@ def nested(flat: DataFrame) -> DataFrame:
 
 def loaded(spark, sf_dir):
     """All tables that loading a trace gives, one under the other, with its quarantine and rejected rows."""
-    t = loader.load(nested(spark.sql(MIXED.replace("FROM raw0", "FROM {raw0}"), raw0=flat(spark, sf_dir))), include_late_init=True, chunk=CHUNK)
+    t = loader.load(trace(spark, sf_dir), include_late_init=True, chunk=CHUNK)
     none, site = F.lit(None).cast("long"), lambda a, b: F.concat(F.col(a), F.lit(":"), F.col(b).cast("string"))
     row = lambda df, place, start, end, caller, callee, name, detail, thread="thread": df.select(
         F.lit(place).alias("place"), *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in zip(("start", "end", "caller", "callee", "name", "detail", "thread"), (start, end, caller, callee, name, detail, thread))])
@@ -129,6 +151,7 @@ def flat(spark, sf_dir):
 
 def queries():
     out = {k: (lambda spark, sf_dir, f=v[0]: f(flat(spark, sf_dir))) for k, v in QUERIES.items()}
+    out |= {k: (lambda spark, sf_dir, f=v[0]: f(trace(spark, sf_dir))) for k, v in TRACE_QUERIES.items()}
     return out | {"load_tables": loaded} | {f"protocol_{k}": (lambda spark, sf_dir, p=protocols.REGISTERED[k]: protocols.verdicts(flat(spark, sf_dir), p, CHUNK)) for k in PROTOCOLS}
 
 
@@ -136,4 +159,5 @@ def oracle_sql() -> dict[str, str]:
     out = {k: f"WITH ev AS ({views.EV}), {', '.join(STEPS)} {v[1]}" for k, v in QUERIES.items()}
     bodies = {k: v[1] for k, v in QUERIES.items()}
     steps = ", ".join(x.format(**bodies) if "{load_" in x else x for x in LOAD_STEPS)
+    out |= {k: f"WITH ev AS ({views.EV}), {', '.join(LOAD_STEPS[:2])} {v[1]}" for k, v in TRACE_QUERIES.items()}
     return out | {"load_tables": f"WITH ev AS ({views.EV}), {steps} {LOAD_SQL}"} | {f"protocol_{k}": f"WITH ev AS ({views.EV}), {', '.join(PROTOCOL_STEPS)} {_VERDICT.format(broken=v)}" for k, v in PROTOCOLS.items()}
