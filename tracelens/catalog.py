@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracelens import views
 from tracelens.operators import loader, objects, stats
 from tracelens.plans.compiler import Compiler
+from tracelens.plans.dominators import heap_dominators
 
 _WRITES, _READS = "kind IN ('fieldstore', 'modify')", "kind IN ('fieldload', 'read')"
 MUTABLE = f"SELECT DISTINCT callee AS id FROM uses WHERE callee > 4 AND {_WRITES} AND NOT (caller = callee AND method = '<init>')"
@@ -125,6 +126,18 @@ TABLE: dict[str, tuple] = {
 }
 
 
+#: By definition: d dominates v if v can't be reached without d; the nearest dominator is the one with most dominators of its own.
+_DOMINATORS = (
+    "links AS (SELECT DISTINCT CAST(0 AS BIGINT) AS src, callee AS dst FROM refs WHERE kind = 'var' UNION SELECT 0, caller FROM refs WHERE caller < 0 UNION SELECT caller, callee FROM refs WHERE kind = 'field' AND caller <> callee)",
+    "live(id) AS (SELECT CAST(0 AS BIGINT) UNION SELECT dst FROM links JOIN live ON src = id)",
+    # only ids that lead on can dominate; those that the root alone refers to aren't dominated by anything else
+    "cuts AS (SELECT DISTINCT src AS d FROM links JOIN live ON src = id WHERE src <> 0 AND dst NOT IN (SELECT dst FROM links WHERE src = 0))",
+    "without(d, id) AS (SELECT d, CAST(0 AS BIGINT) FROM cuts UNION SELECT d, dst FROM links JOIN without ON src = id WHERE dst <> d)",
+    "doms AS (SELECT d, l.id AS v FROM cuts, live l WHERE l.id NOT IN (0) AND l.id <> d AND NOT EXISTS (SELECT 1 FROM without w WHERE w.d = cuts.d AND w.id = l.id))",
+)
+_DOMINATORS_SQL = """SELECT id, COALESCE(ARG_MAX(doms.d, COALESCE(n, 0)), 0) AS dominator FROM live LEFT JOIN doms ON v = id LEFT JOIN (SELECT v AS d, COUNT(*) AS n FROM doms GROUP BY v) c ON c.d = doms.d WHERE id <> 0 GROUP BY id"""
+TABLE["heap_dominators"] = (_on(lambda t: heap_dominators(t["refs"])), _DOMINATORS_SQL, *_DOMINATORS)
+
 #: The primitive sets of the warm-up grid by their text.
 GRID = {TEXT[k][0]: TEXT[k][1] for k in ("mutable_obj", "immutable_obj", "stationary_obj", "unique_obj", "heap_unique_obj", "tiny_obj", "stack_bound_obj", "age_ordered_obj", "reverse_age_ordered_obj", "thread_local_obj", "obj")}
 
