@@ -9,6 +9,7 @@ from tracelens import views
 from tracelens.functions.text import listing
 from tracelens.model import EVENT_FIELDS
 from tracelens.operators import automata, loader, protocols
+from tracelens.plans.cutting import work_path
 
 #: Flat events as ``loader.flatten`` gives them, made from ``ev``: sign-ups enter a method and errors leave one, whatever is on the stack.
 RAW = """SELECT idx, kind, thread, CASE WHEN kind IN ('methodenter', 'methodexit') THEN CASE WHEN k % 4 = 0 THEN '<init>' ELSE 'run' END WHEN kind IN ('varstore', 'varload') THEN NULL ELSE fname END AS name,
@@ -127,12 +128,15 @@ def nested(flat: DataFrame) -> DataFrame:
 
 
 def loaded(spark, sf_dir):
-    """All tables that loading a trace gives, one under the other, with its quarantine and rejected rows."""
-    t = loader.load(trace(spark, sf_dir), include_late_init=True, chunk=CHUNK)
+    """All tables of a store that a trace was loaded into, one under the other, with its quarantine and rejected rows."""
+    from tracelens.sources.store import Store
+
+    store = Store(spark, work_path(spark, "loaded")).load(trace(spark, sf_dir), include_late_init=True, chunk=CHUNK)
+    t = store.tables() | {name: spark.read.parquet(f"{store.folder}/{name}") for name in ("quarantine", "rejected")}
     none, site = F.lit(None).cast("long"), lambda a, b: F.concat(F.col(a), F.lit(":"), F.col(b).cast("string"))
     row = lambda df, place, start, end, caller, callee, name, detail, thread="thread": df.select(
         F.lit(place).alias("place"), *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in zip(("start", "end", "caller", "callee", "name", "detail", "thread"), (start, end, caller, callee, name, detail, thread))])
-    broken, json = loader.broken_rows(t), lambda f: F.get_json_object("row", f"$.{f}")
+    broken, json = t["rejected"], lambda f: F.get_json_object("row", f"$.{f}")
     parts = [
         row(t["uses"], "uses", "idx", none, "caller", "callee", "name", F.concat("kind", F.lit(" in "), "method")), row(t["refs"], "refs", "refstart", "refend", "caller", "callee", "name", "kind"),
         row(t["calls"], "calls", "callstart", "callend", "caller", "callee", "name", site("callsitefile", "callsiteline")),
