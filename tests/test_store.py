@@ -9,6 +9,7 @@ from tracelens.functions.text import listing, shown
 from tracelens.operators import automata, loader, objects, stats
 from tracelens.plans.compiler import Compiler
 from tracelens.plans.parser import parse
+from tracelens.sources import store as store_module
 from tracelens.sources.store import Store, catalogue
 from tracelens.streaming.counts import kind_counts, windowed_counts
 from tracelens.streaming.stack import stack_rows
@@ -106,7 +107,8 @@ def test_many_sets_fit_the_bitmap(spark):
         assert [k for k in range(77) if found[i][k // stats.WORD] >> k % stats.WORD & 1] == [k for k in range(77) if k <= i < k + 3]
 
 
-def test_calls_by_time_reads_few_files(spark, tmp_path):
+def test_calls_by_time_reads_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "PER_CELL", 100)
     rng = random.Random(3)
     rows = [(1, i, "m", s := rng.randrange(1, 100_000), s + int(2 ** rng.uniform(0, 16)), "f", 1, "t") for i in range(3000)]
     store = Store(spark, str(tmp_path / "s")).write({"calls": spark.createDataFrame(rows, "caller long, callee long, name string, callstart long, callend long, callsitefile string, callsiteline long, thread string")})

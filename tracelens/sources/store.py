@@ -19,8 +19,8 @@ from tracelens.sources.trace import located
 
 #: Of what a store holds; a store of another version is loaded anew.
 VERSION = "3"
-#: Cells that the trace is cut into for calls of each order of length, at most.
-CELLS = 256
+#: Cells that the trace is cut into for calls of each order of length, at most, and calls for each cell, at least.
+CELLS, PER_CELL = 256, 100_000
 
 
 def _fs(spark: SparkSession, path: str):
@@ -98,8 +98,8 @@ class Store:
         """Calls by order of length, and by where they start in cells of at least that length: a call that is open at some time starts in one
         of two cells of its order. Returns the least width of a cell."""
         calls = self.table("calls").filter("callend >= callstart")
-        last = calls.agg(F.max("callend")).first()[0] or 0
-        width = max(1, -(-(last + 1) // CELLS))
+        last, n = calls.agg(F.max("callend"), F.count("*")).first()
+        width = max(1, -(-((last or 0) + 1) // max(1, min(CELLS, n // PER_CELL))))
         span = F.floor(F.log2((F.col("callend") - F.col("callstart") + 1).cast("double"))).cast("int")
         cell = F.floor(F.col("callstart") / F.greatest(F.lit(width), F.pow(F.lit(2.0), F.col("span") + 1).cast("long"))).cast("int")
         rows = calls.withColumn("span", span).withColumn("cell", cell)
