@@ -12,9 +12,11 @@ have equal ones, and a slice holds the strings of its share of minimizers, as ru
    levels of nearly equal size are merged, so there are logarithmically many. Runs that are equal as a whole are looked up as a whole.
 5. The covered ranges go back to the documents.
 
-A slice holds a hash share of the corpus; the number of slices follows ``spark.sql.shuffle.partitions``, which grows with the input. Of the
+A slice holds a hash share of the corpus; the number of slices follows ``spark.sql.shuffle.partitions``, which has to be set to suit the input. Of the
 runs of one document only about two in a hundred bytes' worth start with the same minimizer, so a string that a third of all
 documents share is a small part of one slice.
+
+The levels of step 4 live for one call. ``suffix_index`` has a family that is stored and to which later batches are appended.
 """
 
 from __future__ import annotations
@@ -155,7 +157,9 @@ def _shared(batches: Iterator) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array(key[heads]), pa.array(blobs, pa.binary())], names=["key", "starts"])
 
 
-def _bytes_of(slices: int):
+def _bytes_of(slices: int, every: bool = False):
+    """The runs with the wanted starts of each text, or all, packed for the slices."""
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -164,9 +168,10 @@ def _bytes_of(slices: int):
             for lo, texts in _texts(batch, 3):
                 raw, begins = b"".join(texts), np.cumsum([0, *map(len, texts)])
                 owner, start, size, least = runs(raw, begins)
-                wanted = [np.frombuffer(b"".join(x.as_py()), np.uint32).astype(np.int64) + begins[i] for i, x in enumerate(batch.column(2)[lo : lo + len(texts)])]
-                pick = np.flatnonzero(np.isin(start + begins[owner], np.concatenate(wanted)))
-                owner, start, size, least = owner[pick], start[pick], size[pick], least[pick]
+                if not every:
+                    wanted = [np.frombuffer(b"".join(x.as_py()), np.uint32).astype(np.int64) + begins[i] for i, x in enumerate(batch.column(2)[lo : lo + len(texts)])]
+                    pick = np.flatnonzero(np.isin(start + begins[owner], np.concatenate(wanted)))
+                    owner, start, size, least = owner[pick], start[pick], size[pick], least[pick]
                 order, which, bounds = _by_slice(slices, least)
                 owner, start, size = owner[order], start[order], size[order]
                 key, doc, begin = keys[lo : lo + len(texts)][owner], docs[lo : lo + len(texts)][owner], start + begins[owner]
@@ -249,6 +254,22 @@ def covered(keys: np.ndarray, sizes: np.ndarray, data: bytes, length: int = LENG
     return out
 
 
+def joined(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """(keys, docs, starts, sizes, bytes) of the runs of a slice, ascending by doc. ``parts`` is emptied."""
+    import pyarrow as pa
+
+    key = np.concatenate([np.cumsum(_unpack(p[2], np.int64, p[0])) for p in parts])
+    doc = key + np.concatenate([_unpack(p[3], np.int64, p[0]) for p in parts])
+    start = np.concatenate([_unpack(p[4], np.uint32, p[0]) for p in parts]).astype(np.int64)
+    size = np.concatenate([_unpack(p[5], np.uint32, p[0]) for p in parts]).astype(np.int64)
+    data = b"".join(pa.decompress(p[6], p[1], codec="zstd", asbytes=True) for p in parts)
+    parts.clear()
+    order = np.argsort(doc, kind="stable")
+    begin = np.cumsum(size) - size
+    data = b"".join(data[a : a + n] for a, n in zip(begin[order].tolist(), size[order].tolist()))
+    return key[order], doc[order], start[order], size[order], data
+
+
 def _scan(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
@@ -257,18 +278,8 @@ def _scan(batches: Iterator) -> Iterator:
         for s, *rest in zip(*(c.to_pylist() for c in batch.columns)):
             held.setdefault(s, []).append(rest)
     while held:
-        _, parts = held.popitem()
-        key = np.concatenate([np.cumsum(_unpack(p[2], np.int64, p[0])) for p in parts])
-        doc = key + np.concatenate([_unpack(p[3], np.int64, p[0]) for p in parts])
-        start = np.concatenate([_unpack(p[4], np.uint32, p[0]) for p in parts]).astype(np.int64)
-        size = np.concatenate([_unpack(p[5], np.uint32, p[0]) for p in parts]).astype(np.int64)
-        data = b"".join(pa.decompress(p[6], p[1], codec="zstd", asbytes=True) for p in parts)
-        del parts
-        order = np.argsort(doc, kind="stable")
-        begin = np.cumsum(size) - size
-        data = b"".join(data[a : a + n] for a, n in zip(begin[order].tolist(), size[order].tolist()))
-        key, start = key[order], start[order]
-        found = covered(doc[order], size[order], data)
+        key, doc, start, size, data = joined(held.popitem()[1])
+        found = covered(doc, size, data)
         if found:
             run, a, b = np.array(found, np.int64).T
             yield pa.RecordBatch.from_arrays([pa.array(key[run]), pa.array(start[run] + a), pa.array(start[run] + b)], names=["key", "a", "b"])
@@ -304,6 +315,10 @@ def _remove(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["key", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+#: Runs of several texts that belong to one slice, packed.
+PIECES = "slice int, n int, n_bytes long, keys binary, docs binary, starts binary, sizes binary, data binary"
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, key, doc, text. ``doc`` is the doc_id (null: the smallest number), by which documents are compared. ``key`` only tells
     texts apart: it is ``doc`` too, or, if documents with different texts share one, a number for each (doc_id, digest of the text)."""
@@ -329,8 +344,13 @@ def removals(rows: DataFrame) -> DataFrame:
     wanted = cut(some.groupBy("key").agg(F.collect_list("starts").alias("starts")), "starts")
     # only texts with such runs move; their keys are broadcast if they fit the bound
     there = texts.join(sized(wanted.select("key"), 16), "key", "left_semi")
-    pieces = wanted.join(there, "key").select("key", "doc", "starts", "text").mapInArrow(_bytes_of(slices), "slice int, n int, n_bytes long, keys binary, docs binary, starts binary, sizes binary, data binary")
+    pieces = wanted.join(there, "key").select("key", "doc", "starts", "text").mapInArrow(_bytes_of(slices), PIECES)
     found = pieces.repartition(slices, "slice").mapInArrow(_scan, "key long, a long, b long")
+    return without(texts, found)
+
+
+def without(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """key, n_removed, n_spans, kept_sha256, kept (bytes) for the texts (key, text) of which ``found`` (key, a, b) names ranges."""
     ranges = cut(found.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "ranges")
     there = texts.select("key", "text").join(sized(ranges.select("key"), 16), "key", "left_semi").dropDuplicates(["key"])
     return ranges.join(there, "key").select("key", "ranges", "text").mapInArrow(_remove, "key long, n_removed long, n_spans long, kept_sha256 string, kept binary")
@@ -351,7 +371,11 @@ def removal_report(docs: DataFrame) -> DataFrame:
     columns aren't looked at.
     """
     rows = keyed(docs)
-    lost = cut(removals(rows).drop("kept"), "lost")
+    return report(rows, cut(removals(rows).drop("kept"), "lost"))
+
+
+def report(rows: DataFrame, lost: DataFrame) -> DataFrame:
+    """What ``removal_report`` gives, for ``rows`` as keyed and what those that lose something lose."""
     every = rows.select("doc_id", "key", byte_length("text").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     none = F.lit(0).cast("long")
     return every.join(lost, "key", "left").select(
