@@ -5,13 +5,15 @@ Bounds are part of the meaning: traced objects are those with id >= 4, negations
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelens.model import JVM, READS, WRITES
 from tracelens.operators.scans import CHUNK, peaks
 
-Tables = dict[str, DataFrame]
+Tables = Mapping[str, DataFrame]
 
 
 def obj(t: Tables) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from tracelens.plans.fixpoint import reach
 from tracelens.plans.parser import parse
 
 
-def edges(tables: dict[str, DataFrame], heap: bool, backwards: bool) -> DataFrame:
+def edges(tables: Mapping[str, DataFrame], heap: bool, backwards: bool) -> DataFrame:
     """Distinct (src, dst) along references."""
     refs = objects.fields(tables) if heap else tables["refs"]
     src, dst = ("callee", "caller") if backwards else ("caller", "callee")
@@ -23,7 +25,7 @@ class Compiler:
     """Compiles queries over one set of tables; equal sub-queries are compiled once, and closures are computed
     once and kept in the shared folder. ``cache`` (see ``sources.cache``) keeps results across sessions."""
 
-    def __init__(self, tables: dict[str, DataFrame], cache=None):
+    def __init__(self, tables: Mapping[str, DataFrame], cache=None):
         self.tables, self.cache, self.memo, self.known_edges = tables, cache, {}, {}
 
     def __call__(self, q: Query | str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 EV = """SELECT CAST(event_id + 1 AS BIGINT) AS idx, event_type, user_id, k,
   CAST(10*(user_id*100 + k + 1) + 6 AS BIGINT) AS obj, CAST(10*(user_id + 1) + 7 AS BIGINT) AS usr,
@@ -27,17 +30,37 @@ CALLS = """SELECT usr AS caller, obj AS callee, CASE WHEN event_type='signup' TH
 VIEWS = {"ev": EV, "uses": USES, "refs": REFS, "objects": OBJECTS, "calls": CALLS}
 
 
-def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The store tables, and the underlying ``ev``."""
-    from pyspark.sql import functions as F
+class Views(Mapping):
+    """The store tables, and the underlying ``ev``. A table is built when it is first asked for, so a query plans those that it reads."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir, self.built = spark, sf_dir, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.built:
+            self.built[name] = self.build(name)
+        return self.built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(VIEWS)
+
+    def __len__(self) -> int:
+        return len(VIEWS)
+
+    def build(self, name: str) -> DataFrame:
+        if name == "ev":
+            raw = self.spark.read.parquet(f"{self.sf_dir}/events.parquet")
+            return self.spark.sql(EV.replace("FROM events", "FROM {events}").replace('{"k": ', '{{"k": ').replace("'}'", "'}}'"), events=raw)
+        sql = VIEWS[name].replace("FROM ev a JOIN ev b", "FROM {ev} a JOIN {ev} b").replace("FROM ev", "FROM {ev}")
+        if name != "objects":
+            return self.spark.sql(sql, ev=self["ev"])
+        region = self.spark.read.parquet(f"{self.sf_dir}/region.parquet")
+        out = self.spark.sql(sql.replace("FROM region", "FROM {region}"), ev=self["ev"], region=region)
+        return out.withColumn("allocationsiteline", F.col("allocationsiteline").cast("int"))
+
 
-    raw, region = spark.read.parquet(f"{sf_dir}/events.parquet"), spark.read.parquet(f"{sf_dir}/region.parquet")
-    out = {"ev": spark.sql(EV.replace("FROM events", "FROM {events}").replace('{"k": ', '{{"k": ').replace("'}'", "'}}'"), events=raw)}
-    for name, sql in list(VIEWS.items())[1:]:
-        sql = sql.replace("FROM ev a JOIN ev b", "FROM {ev} a JOIN {ev} b").replace("FROM ev", "FROM {ev}").replace("FROM region", "FROM {region}")
-        out[name] = spark.sql(sql, ev=out["ev"], region=region) if "{region}" in sql else spark.sql(sql, ev=out["ev"])
-    out["objects"] = out["objects"].withColumn("allocationsiteline", F.col("allocationsiteline").cast("int"))
-    return out
+def tables(spark: SparkSession, sf_dir: str) -> Views:
+    return Views(spark, sf_dir)
 
 
 def oracle(body: str, *extra: str) -> str:
