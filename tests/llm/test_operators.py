@@ -4,12 +4,14 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tracelens.llm import chat, decontam, lines, packing, probminhash, quality, sharding, spans, suffix, tokencount
+from tracelens.llm.common import shared_dir
 
 DATA = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{i} alpha beta gamma delta epsilon{i % 7}." for i in range(60))
@@ -539,6 +541,26 @@ def test_no_link_is_lost_to_scattered_edits(spark, monkeypatch):
     assert {x["doc_id"] for x in lines.dedup_lines(rows).filter("n_removed > 0").collect()} == {i for i, f in enumerate(first) if f != i}
 
 
+def test_all_pairs_of_lines_take_disk_by_the_lines(spark, monkeypatch):
+    """What deciding all pairs shuffles, writes and keeps doesn't grow with the pairs of blocks, and every pass finds its links, once."""
+    import random
+
+    r, kept = random.Random(12), []
+    texts = ["".join(r.choice("abcdefghiklmnoprstuvw ") for _ in range(r.randint(80, 300))) for _ in range(120)]
+    texts += [t[:-3] + "xyz" for t in texts[::2]]
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "node long, root long, norm string").repartition(3)
+    files = lambda: sum(f.stat().st_size for f in Path(shared_dir(spark).removeprefix("file:")).rglob("*.parquet"))
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    monkeypatch.setattr(lines, "BLOCK", 8)
+    monkeypatch.setattr(lines, "CHUNK", 100_000, raising=False)
+    monkeypatch.setattr(lines, "discard", lambda *cuts: kept.append(files()))
+    shuffle, disk = shuffled(), files()
+    found = sorted((min(x), max(x)) for x in lines.rest(rows).collect())
+    assert found == [(2 * i, 120 + i) for i in range(60)]
+    size = sum(map(len, texts))
+    assert shuffled() - shuffle < 4 * size and kept[0] - disk < 8 * size
+
+
 def test_near_duplicates_against_all_pairs(spark):
     """Classes of sf0.01, and of copies of its texts with a word replaced now and then, against the probability Jaccard of every pair
     of documents, written out as its definition."""
