@@ -78,6 +78,42 @@ def test_decontamination(spark, docs, none):
     assert decontam.contamination(none, bench).count() == 0 and not decontam.contamination(docs, bench.filter("false")).filter("contaminated").count()
 
 
+def test_decontamination_builds_few_windows(spark, monkeypatch):
+    """Items of 1 to 25 words in documents of several blocks: the hits of brute force, and few windows built that are none."""
+    import random
+
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [[r.choice(vocabulary) for _ in range(k)] for k in [*range(3, 13), *range(5, 26)] for _ in range(2)] + [["w1"], ["w2", "w3"]]
+    texts = []
+    for size in (1, 9, 10, 11, 40, 60, 61, 62, 300, 301, 302, 303) * 3:
+        w = [r.choice(vocabulary[5:]) for _ in range(size)]
+        for item in r.sample(items, size // 25):
+            at = r.randrange(size)
+            w[at:at] = item
+        texts.append(w)
+    texts += items
+    monkeypatch.setattr(decontam, "BLOCK", 32)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    want, built = {}, 0
+    for i, w in enumerate(texts):
+        for k in {min(10, len(t)) for t in items}:
+            built += max(len(w) - k + 1, 0)
+        for j, t in enumerate(items):
+            k = min(10, len(t))
+            grams = {tuple(t[a : a + k]) for a in range(len(t) - k + 1)}
+            at = {p for a in range(len(w) - k + 1) if tuple(w[a : a + k]) in grams for p in range(a, a + k)}
+            if at:
+                want.setdefault(i, (set(), set()))
+                want[i][0].update(at)
+                want[i][1].add(str(j))
+    found = {x["doc_id"]: ({p for s in x["spans"] for p in range(s["start"], s["end"])}, set(x["items"])) for x in decontam.hits(docs, bench).collect()}
+    assert found == want and len(want) > 60
+    grams, lengths = decontam.test_windows(bench), sorted({min(10, len(t)) for t in items})
+    assert decontam.looked_up(docs, decontam.test_runs(grams, lengths), lengths).count() < built / 5
+
+
 def test_quality(spark, docs, none):
     def base(t):
         w, tri = re.findall(r"[^\x20\x09-\x0D]+", t or ""), {}

@@ -1,9 +1,11 @@
 """1 Benchmark decontamination: a broadcast hash set of normalised test n-grams.
 
 Texts are lower-cased in A-Z and cut into words. A test item gives its windows of ``n`` consecutive words, or
-itself as one window if it is shorter. Documents are scanned in blocks of words, every window of a block is
-looked up in the hash set by its whole text (so a hit is verified by equality, not by digest), and the hits of a
-document are merged to word spans. Documents or spans are removed. Built-in SQL functions only.
+itself as one window if it is shorter. Documents are scanned in blocks of words. Wherever a window of k words stands,
+it holds a run of ``RUN`` words at a place that is divisible by k - RUN + 1, so only the runs at these places are
+hashed and looked up among those of the windows. The windows around a run that is found are looked up in the hash set
+by their whole text (so a hit is verified by equality, not by digest), and the hits of a document are merged to word
+spans. Documents or spans are removed. Built-in SQL functions only.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a block; bounds the memory that a very long text takes.
 BLOCK = 512
+#: Words of a run; windows of fewer words are runs themselves.
+RUN = 4
 #: The hash set is broadcast up to this many bytes of windows and item ids; beyond, the join shuffles.
 MAX_BROADCAST = 64 << 20
 
@@ -44,24 +48,57 @@ def test_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     return each.groupBy(F.col("x.window").alias("window"), "n_window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, digest, spans (merged, 0-based word positions: start, end), items; only documents with hits."""
-    grams = test_windows(benchmark, n)
-    size = grams.agg(F.sum(F.octet_length("window") + 40 + F.octet_length(F.array_join("items", ",")) + 24 * F.size("items")).alias("bytes"), F.sort_array(F.collect_set("n_window")).alias("lengths")).first()
-    lengths = size["lengths"] or []
-    held = F.broadcast(grams) if (size["bytes"] or 0) <= MAX_BROADCAST else grams
+def run(ws: Column, at: Column, k: int) -> Column:
+    """Hash of the run of a window of k words that starts at the 1-based place ``at``."""
+    return F.xxhash64(*[ws[at + (j - 1)] for j in range(min(RUN, k))])
+
+
+def stride(k: int) -> int:
+    """Of so many runs in a row that a window of k words holds, one is at a place divisible by this."""
+    return k - min(RUN, k) + 1
+
+
+def test_runs(grams: DataFrame, lengths: list[int]) -> DataFrame:
+    """n_window, run: the hashes of all runs of the windows."""
+
+    def of_length(k: int) -> Column:
+        return F.when(F.col("n_window") == k, F.transform(F.sequence(F.lit(1), F.lit(stride(k))), lambda i: run(F.col("w"), i, k)))
+
+    runs, none = map(of_length, lengths), F.array().cast("array<bigint>")
+    return grams.select("n_window", F.split("window", " ").alias("w")).select("n_window", F.explode(F.coalesce(*runs, none)).alias("run")).distinct()
+
+
+def looked_up(docs: DataFrame, runs: DataFrame, lengths: list[int], n: int = N) -> DataFrame:
+    """doc_id, digest, start, n_window, window: the windows of ``docs`` that hold a run of ``runs`` at a place of their stride,
+    which none that equals a window of the benchmark lacks."""
     ws = docs.select("doc_id", F.xxhash64(blank("text")).alias("digest"), words(blank("text")).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(BLOCK))
     blocks = ws.select("doc_id", "digest", F.explode(F.transform(starts, lambda b: F.struct(b.alias("base"), F.slice("w", b + 1, BLOCK + n - 1).alias("w")))).alias("b"))
+    w = F.col("b.w")
 
     def of_length(k: int) -> Column:
-        found = windows(F.col("b.w"), k, F.lit(1), F.least(F.lit(BLOCK), F.size("b.w") - k + 1))
-        return F.transform(found, lambda x: F.struct(F.lit(k).alias("n_window"), x["at"].alias("at"), x["window"].alias("window")))
-
-    per_length = [of_length(k) for k in lengths] or [F.array().cast("array<struct<n_window:int,at:int,window:string>>")]
+        step = stride(k)
+        last = F.least(F.lit(BLOCK + step - 1), F.size(w) - min(RUN, k) + 1)
+        at = F.when(last >= step, F.sequence(F.lit(step), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        # the windows that hold the run start at one of the ``step`` places up to it
+        return F.transform(at, lambda p: F.struct(
+            F.lit(k).alias("n_window"), run(w, p, k).alias("run"), (p - step).alias("before"), F.slice(w, p - (step - 1), step + k - 1).alias("w")))
+
+    per_length = [of_length(k) for k in lengths] or [F.array().cast("array<struct<n_window:int,run:bigint,before:int,w:array<string>>>")]
     each = blocks.select("doc_id", "digest", F.col("b.base").alias("base"), F.explode(F.concat(*per_length)).alias("x"))
-    found = each.select("doc_id", "digest", (F.col("base") + F.col("x.at") - 1).alias("start"), F.col("x.n_window").alias("n_window"), F.col("x.window").alias("window"))
-    found = found.join(held, ["window", "n_window"])
+    each = each.select("doc_id", "digest", (F.col("base") + F.col("x.before")).alias("base"), "x.n_window", "x.run", "x.w").join(runs, ["n_window", "run"])
+    found = windows(F.col("w"), F.col("n_window"), F.lit(1), F.size("w") - F.col("n_window") + 1)
+    each = each.select("doc_id", "digest", "base", "n_window", F.explode(found).alias("x"))
+    return each.select("doc_id", "digest", (F.col("base") + F.col("x.at") - 1).alias("start"), "n_window", F.col("x.window").alias("window"))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
+    """doc_id, digest, spans (merged, 0-based word positions: start, end), items; only documents with hits."""
+    grams = test_windows(benchmark, n)
+    size = grams.agg(F.sum(F.octet_length("window") + 40 + F.octet_length(F.array_join("items", ",")) + 24 * F.size("items")).alias("bytes"), F.sort_array(F.collect_set("n_window")).alias("lengths")).first()
+    lengths, runs = size["lengths"] or [], test_runs(grams, size["lengths"] or [])
+    held, runs = (F.broadcast(grams), F.broadcast(runs)) if (size["bytes"] or 0) <= MAX_BROADCAST else (grams, runs)
+    found = looked_up(docs, runs, lengths, n).join(held, ["window", "n_window"])
     per = found.groupBy("doc_id", "digest").agg(
         F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("n_window")).alias("end")))).alias("runs"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
