@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelens.llm import chat, decontam, lines, packing, probminhash, quality, sharding, spans, suffix, tokencount
-from tracelens.llm.common import shared_dir
+from tracelens.llm.common import setting, shared_dir
 
 DATA = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{i} alpha beta gamma delta epsilon{i % 7}." for i in range(60))
@@ -597,6 +597,40 @@ def test_all_pairs_of_lines_take_disk_by_the_lines(spark, monkeypatch):
     assert shuffled() - shuffle < 4 * size and kept[0] - disk < 8 * size
 
 
+def test_pairs_of_lines_meet_by_numbers(spark, monkeypatch):
+    """Pairs are met in a compiled loop over lengths and letters, which looks at no text; and what the starts of lines rule out is no link,
+    also where characters are lost or added at one end."""
+    import random
+
+    r, plans, real = random.Random(13), [], lines.cut
+    texts = ["".join(r.choice("abcdefghiklmnoprstuvwé ") for _ in range(n)) for n in (20, 21, 35, 60, 100, 170, 260) * 3]
+    edits = lambda n: [r.choice(((0, 1), (1, 0), (1, 1))) for _ in range(n)]
+    for t in list(texts):
+        most = int(0.2 * len(t) + 1e-9)
+        texts += [t[most:], t[:-most], t[: len(t) // 2] + t[len(t) // 2 + most :]]
+        for lo, hi in ((0, len(t) // 3), (len(t) // 3, len(t)), (0, len(t))):
+            b = list(t)
+            for k, (lost, more) in zip(r.sample(range(lo, hi), min(most, hi - lo)), edits(most)):
+                b[k] = b[k] * (1 - lost) + "x" * more
+            texts.append("".join(b))
+    texts = sorted(set(texts))
+    near = [(i, j) for j in range(len(texts)) for i in range(j) if abs(len(texts[i]) - len(texts[j])) <= 0.2 * max(len(texts[i]), len(texts[j]))
+            and bit_distance(texts[i], texts[j]) <= int(0.2 * max(len(texts[i]), len(texts[j])) + 1e-9)]
+    assert len(near) >= 100
+
+    def cut(df, name="cut", by=(), onto=None):
+        if name == "rest":
+            with setting(spark, "spark.sql.adaptive.enabled", "false"):
+                plans.append(spark._jvm.PythonSQLUtils.explainString(df.select("*")._jdf.queryExecution(), "formatted"))
+        return real(df, name, by, onto)
+
+    monkeypatch.setattr(lines, "cut", cut)
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "node long, root long, norm string").repartition(3)
+    assert sorted((min(x), max(x)) for x in lines.rest(rows).collect()) == sorted(near)
+    met = [x for p in plans for x in p.split("\n\n") if "BroadcastNestedLoopJoin" in x.split("\n")[0]]
+    assert met and all("codegen id" in x.split("\n")[0] and "norm" not in x.split("Join condition")[1] for x in met)
+
+
 def test_near_duplicates_against_all_pairs(spark):
     """Classes of sf0.01, and of copies of its texts with a word replaced now and then, against the probability Jaccard of every pair
     of documents, written out as its definition."""
