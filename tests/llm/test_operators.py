@@ -631,6 +631,38 @@ def test_pairs_of_lines_meet_by_numbers(spark, monkeypatch):
     assert met and all("codegen id" in x.split("\n")[0] and "norm" not in x.split("Join condition")[1] for x in met)
 
 
+def test_lost_pieces_are_no_more_than_edits(spark):
+    """What the pieces of a line rule out is no link, wherever its edits are and however lengths differ; and they rule out nearly all
+    pairs of unlike lines of the same syllables, of which lengths and letters leave many."""
+    import random
+
+    r = random.Random(14)
+    syllables = ["".join(r.choice("etaoinsrhé") for _ in range(r.randint(1, 4))) for _ in range(60)]
+    line = lambda n: "".join(r.choice(syllables) + " " * (r.random() < 0.4) for _ in range(n))[:n].strip()
+    pairs, unlike = [], []
+    for size in (20, 23, 40, 75, 150, 310, 620):
+        for _ in range(3):
+            a, n = line(size), size // 5 - 1
+            pairs += [(a, a[n:]), (a, a[:-n]), (a, a[: size // 2] + line(n) + a[size // 2 :]), (a, a[: size // 3] + a[size // 3 + n :]), (a, line(n) + a[:-n]), (a, a[n:] + line(n))]
+            for lo, hi in ((0, size // 3), (size // 2, size), (0, size)):
+                b = list(a)
+                for k in r.sample(range(lo, min(hi, len(b))), min(n, min(hi, len(b)) - lo)):
+                    b[k] = r.choice(("", "x", b[k] + "\U0001f600"))
+                pairs.append((a, "".join(b)))
+    pairs += [(b, a) for a, b in pairs]
+    unlike = [(line(n), line(n + r.randint(-n // 12, n // 12))) for n in (60, 120, 250, 400, 500) * 12]
+    rows = spark.createDataFrame(pairs + unlike, "a string, b string").repartition(4)
+    x, y, step = F.length("a"), F.length("b"), F.ceil(F.length("a") / lines.STEPS).cast("int")
+    most = F.floor(F.greatest(x, y) * 0.2 + 1e-9).cast("int")
+    rows = rows.select("a", "b", most.alias("most"), step.alias("step"), lines.pieces(F.col("b")).alias("pieces"), F.floor((most + y - x) / 2).cast("int").alias("ahead"))
+    rows = rows.withColumn("windows", lines.windows(F.col("a"), F.col("step"), 0.8))
+    out = {(x["a"], x["b"]): x for x in rows.withColumn("lost", lines.lost(*map(F.col, ("pieces", "windows", "step", "ahead")))).collect()}
+    assert all("".join(x["pieces"]) == x["b"] for x in out.values())
+    near = [(a, b) for a, b in pairs if bit_distance(a, b) <= out[a, b]["most"]]
+    assert len(near) >= 250 and all(out[k]["lost"] <= bit_distance(*k) for k in near)
+    assert sum(out[k]["lost"] > out[k]["most"] for k in unlike) >= 0.9 * len(unlike)
+
+
 def test_near_duplicates_against_all_pairs(spark):
     """Classes of sf0.01, and of copies of its texts with a word replaced now and then, against the probability Jaccard of every pair
     of documents, written out as its definition."""
